@@ -5,14 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from cytoplan.llm import bpe, quality_rules, simhash, tokenfile
 from cytoplan.llm.common import read
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cytoplan.llm.quality_rules import quality_rules
+    return quality_rules.quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
-    return quality_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = tokenfile.round_trip(read(spark, sf_dir, "documents"))
+    return docs.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(read(spark, sf_dir, "documents"))))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
