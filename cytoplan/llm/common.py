@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
+from pyspark.sql.window import Window
 
 #: Everything else is part of a word; the characters are space and the ASCII controls 9 to 13.
 SEPARATORS = r"[\x20\x09-\x0D]"
@@ -46,3 +47,24 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}-{name}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and row: all columns as one, so that their names clash with nothing."""
+    every = F.struct(*(documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)))
+    return documents.select("doc_id", "text", every.alias("row"))
+
+
+def unpacked(columns: list[str], **changed: Column) -> list[Column]:
+    """The columns that packed() has put into row, some of them changed."""
+    return [changed[c].alias(c) if c in changed else F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns)]
+
+
+def with_copy_numbers(documents: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, copy, text and the columns to carry; copy tells rows of one doc_id apart."""
+    own = documents.select("doc_id", "text", *carry)
+    twice = own.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return own.withColumn("copy", F.lit(0))
+    order = Window.partitionBy("doc_id").orderBy("text")
+    return own.withColumn("copy", F.row_number().over(order) - 1)
