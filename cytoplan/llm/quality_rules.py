@@ -26,13 +26,14 @@ THRESHOLD = -0.035
 MAX_TRUSTED = 20_000
 
 
-def base_counts(documents: DataFrame) -> DataFrame:
-    """doc_id, words, and the base columns n_words ... base_failed for each row."""
+def base_counts(documents: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, the columns to carry, words, and the base columns n_words ... base_failed for each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.regexp_replace(text, SEPARATORS + "+", "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SEPARATORS + "+", "") != "")
     a = documents.select(
         "doc_id",
+        *carry,
         words_of(F.col("text")).alias("words"),
         F.length(bare).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -41,6 +42,7 @@ def base_counts(documents: DataFrame) -> DataFrame:
     w = F.col("words")
     a = a.select(
         "doc_id",
+        *carry,
         "words",
         F.size("words").cast("long").alias("n_words"),
         "word_chars",
@@ -65,7 +67,6 @@ def base_counts(documents: DataFrame) -> DataFrame:
     return a.withColumn("base_failed", failed)
 
 
-
 def trusted_ids(labels: DataFrame, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """At most max_trusted ids of rows labelled as good."""
     return (
@@ -86,9 +87,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_trusted: int = MAX_TRUSTED)
     return ngrams.log_ratios(ngrams.counts(feats, F.col("trusted")))
 
 
-def judge(documents: DataFrame, ratios: list[int], threshold: float = THRESHOLD) -> DataFrame:
-    """The base columns, llr_total (the summed ratio, times 2**20), n_grams, llr and kept of each row."""
-    a = base_counts(documents)
+def judge(documents: DataFrame, ratios: list[int], *carry: str, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, the columns to carry, the base columns, kept and llr (the mean log ratio) of each row."""
+    a = base_counts(documents, *carry)
     judged = F.when(~F.col("base_failed"), F.col("words"))  # the others need no score
     a = a.withColumn("w", judged).withColumn("bins", ngrams.buckets_of(F.col("w"))).drop("w")
     a = a.withColumn("llr_total", ngrams.ratio_sum(F.col("bins"), ratios))
@@ -96,11 +97,11 @@ def judge(documents: DataFrame, ratios: list[int], threshold: float = THRESHOLD)
     limit = round(threshold * ngrams.SCALE)
     kept = F.coalesce(~F.col("base_failed") & (F.col("llr_total") >= n * limit), F.lit(False))
     return a.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         kept.alias("kept"), (F.col("llr_total") / (n * ngrams.SCALE)).alias("llr"),
     )
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Fit on all of documents and the trusted rows of labels, then judge every document."""
-    return judge(documents, fit(documents, labels), threshold)
+    return judge(documents, fit(documents, labels), threshold=threshold)
