@@ -25,7 +25,10 @@ SHINGLE = 5
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ratios = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
-    return quality_rules.judge(packed(docs), ratios, "row").where("kept").select(unpacked(docs.columns))
+    judged = quality_rules.judge(packed(docs), ratios, "row")
+    # A plain filter on kept would be moved below the columns that it is made of and compute them twice.
+    kept = judged.select(F.explode_outer(F.when(F.col("kept"), F.array("row"))).alias("row")).where(F.col("row").isNotNull())
+    return kept.select(unpacked(docs.columns))
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
