@@ -17,6 +17,8 @@ from pyspark.sql.column import Column
 BUCKETS = 10_000
 #: Log ratios are kept as whole multiples of 2**-20, so that sums do not depend on their order.
 SCALE = 1 << 20
+#: Weight of the raw corpus in a bin's target count.
+PRIOR = 64
 
 
 def buckets_of(words: Column, buckets: int = BUCKETS) -> Column:
@@ -42,13 +44,17 @@ def counts(features: DataFrame, trusted: Column) -> dict[int, tuple[int, int]]:
 
 
 def log_ratios(found: dict[int, tuple[int, int]], buckets: int = BUCKETS) -> list[int]:
-    """Per bin: log(target probability / raw probability) with add-one smoothing, times SCALE."""
-    raw = sum(n for n, _ in found.values()) + buckets
-    target = sum(m for _, m in found.values()) + buckets
+    """Per bin: log(target probability / raw probability), times SCALE.
+
+    The target's counts start from PRIOR n-grams drawn from the raw corpus, so that a bin with few counts has a
+    ratio near 1, however small the target.
+    """
+    raw, target = sum(n for n, _ in found.values()), sum(m for _, m in found.values())
+    share = max(target, 1) / max(raw, 1)
     out = []
     for b in range(buckets):
         n, m = found.get(b, (0, 0))
-        out.append(round(SCALE * (math.log((m + 1) / target) - math.log((n + 1) / raw))))
+        out.append(round(SCALE * math.log((m + PRIOR * share) / ((n + PRIOR) * share))))
     return out
 
 
