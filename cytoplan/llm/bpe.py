@@ -106,8 +106,7 @@ def merge(v: Vocabulary, word: bytes) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
-def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    raw = [w.encode() for w in words]
+def encode_words(v: Vocabulary, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     proposed = [greedy(v, w) for w in raw]
     counts = np.fromiter(map(len, proposed), np.int64, len(proposed))
     flat = np.fromiter((x for p in proposed for x in p), np.int64, int(counts.sum()))
@@ -123,11 +122,6 @@ def encode_words(v: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarra
     return np.fromiter((x for p in proposed for x in p), np.int64, int(counts.sum())), counts
 
 
-def strings(piece: textbuf.Piece) -> list[str]:
-    data, b = piece.data.tobytes(), piece.bounds.tolist()
-    return [data[x:y].decode() for x, y in zip(b[:-1], b[1:], strict=True)]
-
-
 def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     """Rows of bytes as an Arrow array; bounds in bytes."""
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(values)]).cast(pa.binary())
@@ -137,7 +131,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
     coder = encoder(path)
     for batch in batches:
         for piece in textbuf.pieces(batch.column(1)):
-            ids, starts = coder.encode(strings(piece))
+            ids, starts = coder.encode(piece)
             n = pa.array(np.diff(starts))
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), n, _binary(np.ascontiguousarray(ids, "<u4"), starts * 4)], names=["doc_id", "n_tokens", "ids"])
 

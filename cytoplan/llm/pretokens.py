@@ -8,17 +8,21 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import regex
 
+from cytoplan.llm import textbuf
+
 #: The published split pattern of byte-level BPE; white space is the Unicode property.
 PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: A worker's store of pretokens starts anew beyond this; its memory is bounded, results do not change.
-MOST_WORDS = 400_000
+MOST_WORDS = 1_000_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,72 +74,166 @@ def gathered(values: np.ndarray, starts: np.ndarray, which: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(starts[which] - (ends - size), size)]
 
 
-class _Places(dict):
-    """Pretoken -> its place; a new one gets the next place."""
+LETTER, NUMBER, SPACE, OTHER = range(4)
+
+
+@lru_cache(1)
+def classes() -> np.ndarray:
+    """The class of every code point."""
+    out = np.full(0x110000, OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))  # without surrogates
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
+        for m in regex.finditer(pattern, every):
+            low, high = (k if k < 0xD800 else k + 0x800 for k in m.span())
+            out[low:high] = kind
+    return out
+
+
+def _byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 belongs to."""
+    table = classes()
+    kind = table[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        b0 = data[lead].astype(np.int32)
+        more = lambda k: data[np.minimum(lead + k, len(data) - 1)].astype(np.int32) & 0x3F
+        two = (b0 & 0x1F) << 6 | more(1)
+        three = (b0 & 0x0F) << 12 | more(1) << 6 | more(2)
+        four = (b0 & 0x07) << 18 | more(1) << 12 | more(2) << 6 | more(3)
+        point = np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, four))
+        kind[lead] = own = table[point]
+        kind[lead + 1] = own
+        for k, least in ((2, 0xE0), (3, 0xF0)):
+            long = b0 >= least
+            kind[lead[long] + k] = own[long]
+    return kind
+
+
+def _starts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where the matches of PATTERN begin, as the pattern is applied to each stretch between cuts by itself."""
+    n = len(data)
+    kind = _byte_classes(data)
+    cut = np.zeros(n + 1, bool)
+    cut[cuts] = True
+    run = np.ones(n + 1, bool)
+    run[1:n] = kind[1:] != kind[:-1]
+    run |= cut
+    start = run.copy()
+    space = kind == SPACE
+    # The last character of white space before something else stands alone, or with it if it is a blank.
+    ends = np.flatnonzero(run[1:] & space) + 1  # one past a run of white space
+    ends = ends[~cut[ends]]
+    last = ends - 1
+    while (inner := (data[last] & 0xC0) == 0x80).any():
+        last[inner] -= 1
+    start[last] = True
+    start[ends[data[ends - 1] == 0x20]] = False
+    # An apostrophe and the letters of a contraction.
+    quote = np.flatnonzero((data == 0x27) & start[:n])
+    quote = quote[quote + 1 < n]
+    if len(quote):
+        quote = quote[(kind[quote + 1] == LETTER) & ~cut[quote + 1]]
+        one = data[quote + 1]
+        two = np.where((quote + 2 < n) & ~cut[np.minimum(quote + 2, n)], data[np.minimum(quote + 2, n - 1)], 0)
+        size = np.where(np.isin(one, list(b"stmd")), 1, 0)
+        for pair in (b"re", b"ve", b"ll"):
+            size[(one == pair[0]) & (two == pair[1])] = 2
+        quote, size = quote[size > 0], size[size > 0]
+        start[quote + 1] = False
+        start[quote + 1 + size] = True
+    return np.flatnonzero(start[:n])
+
+
+_VALUES = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+
+
+class _Store:
+    """Pretokens by 64-bit hash, checked by their length and first bytes, with the place of each."""
 
     def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
+        self.hash, self.check, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        return np.where((self.hash[at] == h) & (self.check[at] == check), self.place[at], -1)
 
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
+    def add(self, h: np.ndarray, check: np.ndarray, place: np.ndarray) -> None:
+        h, check, place = np.concatenate((self.hash, h)), np.concatenate((self.check, check)), np.concatenate((self.place, place))
+        order = np.argsort(h, kind="stable")
+        self.hash, self.check, self.place = h[order], check[order], place[order]
 
 
 class Encoder:
     """Encodes texts; encode_words gives the ids of distinct pretokens, joined, and the count of each."""
 
-    def __init__(self, special: dict[str, int], encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
-        self.special = special
+    def __init__(self, special: dict[str, int], encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.special = {k.encode(): v for k, v in special.items()}
         self.encode_words = encode_words
-        self.split = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.pattern = regex.compile(PATTERN)
         self.clear()
 
     def clear(self) -> None:
-        self.places = _Places()
-        self.ids, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def _of(self, text: str) -> list[int]:
-        place = self.places.__getitem__
-        if self.split is None or not any(s in text for s in self.special):
-            return list(map(place, self.pattern.findall(text)))
-        out, at = [], 0
-        for m in self.split.finditer(text):
-            out += map(place, self.pattern.findall(text[at : m.start()]))
-            out.append(-1 - self.special[m[0]])  # told apart below
-            at = m.end()
-        return out + list(map(place, self.pattern.findall(text[at:])))
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        self.old, self.recent = _Store(), _Store()
+        self.ids, self.starts = [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
+
+    def _specials(self, data: bytes) -> list[tuple[int, int, int]]:
+        """Start, end and id of every special token, the leftmost first."""
+        found: list[tuple[int, int, int]] = []
+        for m in regex.finditer(b"|".join(map(regex.escape, self.special)), data) if any(s in data for s in self.special) else ():
+            found.append((m.start(), m.end(), self.special[m[0]]))
+        return found
+
+    def encode(self, piece: textbuf.Piece) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined (uint32), and where each text's ids start, with the end."""
-        if len(self.places) > MOST_WORDS:
+        data, n = piece.data, len(piece.data)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(piece) + 1, np.int64)
+        if len(self.starts) > MOST_WORDS:
             self.clear()
-        found = [self._of(t) for t in texts]
-        if new := self.places.new:
-            self.places.new = []
-            ids, counts = self.encode_words(new)
-            self.ids = np.concatenate((self.ids, ids.astype(np.uint32)))
+        special = self._specials(data.tobytes()) if self.special else []
+        cuts = np.unique(np.concatenate((piece.bounds, np.array([x for s in special for x in s[:2]], np.int64))))
+        start = _starts(data, cuts)
+        if special:
+            inside = np.zeros(n + 1, np.int64)
+            for low, high, _ in special:
+                inside[low + 1] += 1
+                inside[high] -= 1
+            start = start[np.cumsum(inside)[start] == 0]
+        end = np.append(start[1:], n)
+        h = textbuf.spans(textbuf.prefix_hash(_VALUES[data]), start, end)
+        distinct, one, of = np.unique(h, return_index=True, return_inverse=True)
+        low, high = start[one], end[one]
+        check = (high - low).astype(np.uint64)
+        for k in range(7):
+            check = check << np.uint64(8) | np.where(low + k < high, data[np.minimum(low + k, n - 1)], 0).astype(np.uint64)
+        place = self.old.find(distinct, check)
+        place = np.where(place < 0, self.recent.find(distinct, check), place)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = data.tobytes()
+            ids, counts = self.encode_words([raw[x:y] for x, y in zip(low[new].tolist(), high[new].tolist(), strict=True)])
+            place[new] = len(self.starts) - 1 + np.arange(len(new))
+            self.ids.append(ids.astype(np.uint32))
             self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
-        words = np.fromiter((w for f in found for w in f), np.int64, sum(map(len, found)))
-        first = np.concatenate(([0], np.cumsum([len(f) for f in found]))).astype(np.int64)
-        marks = np.flatnonzero(words < 0)
-        safe = np.where(words < 0, 0, words)
-        size = np.where(words < 0, 1, self.starts[safe + 1] - self.starts[safe]) if len(self.places) else np.ones(len(words), np.int64)
+            self.recent.add(distinct[new], check[new], place[new])
+            if 8 * len(self.recent.hash) > len(self.old.hash):
+                self.old.add(self.recent.hash, self.recent.check, self.recent.place)
+                self.recent = _Store()
+            self.ids = [np.concatenate(self.ids)]
+        word = place[of]
+        size = self.starts[word + 1] - self.starts[word]
+        where = np.searchsorted(start, np.array([s[0] for s in special], np.int64))
+        size[where] = 1
         ends = np.concatenate(([0], np.cumsum(size)))
-        if len(marks):
-            out = np.zeros(ends[-1], np.uint32)
-            rest = np.flatnonzero(words >= 0)
-            if len(rest):
-                at = np.repeat(ends[rest], size[rest]) + _within(size[rest])
-                out[at] = gathered(self.ids, self.starts, words[rest])
-            out[ends[marks]] = (-1 - words[marks]).astype(np.uint32)
-        else:
-            out = gathered(self.ids, self.starts, words)
-        return out, ends[first]
-
-
-def _within(size: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(size)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - size, size)
+        begin = self.starts[word]
+        out = self.ids[0][np.arange(ends[-1]) + np.repeat(begin - ends[:-1], size)]
+        out[ends[where]] = [s[2] for s in special]
+        return out, ends[np.searchsorted(start, piece.bounds)]
+
+    def encode_texts(self, texts: list[str]) -> list[list[int]]:
+        found = []
+        for piece in textbuf.pieces(pa.array(texts, pa.string())):
+            ids, at = self.encode(piece)
+            found += [ids[x:y].tolist() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return found

@@ -21,6 +21,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoplan.llm import textbuf
-from cytoplan.llm.bpe import default_tokenizer, strings
+from cytoplan.llm.bpe import default_tokenizer
 from cytoplan.llm.common import shared_folder
 from cytoplan.llm.pretokens import Encoder
 
@@ -48,10 +49,10 @@ def _library_encoder(path: str) -> Encoder:
     t.no_padding()
     special = {x.content: i for i, x in t.get_added_tokens_decoder().items()}
 
-    def encode_words(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in t.encode_batch_fast(words, add_special_tokens=False)]
+    def encode_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         counts = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((x for f in found for x in f), np.int64, int(counts.sum())), counts
+        return np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum())), counts
 
     return Encoder(special, encode_words)
 
@@ -191,7 +192,7 @@ def _write(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBa
 
     for batch in batches:
         for piece in textbuf.pieces(batch.column(1)):
-            found, starts = coder.encode(strings(piece))
+            found, starts = coder.encode(piece)
             docs += batch.column(0).slice(piece.first, len(piece)).to_pylist()
             with_end = np.insert(found.astype(np.int64), starts[1:], END_ID)
             ids.append(with_end)
