@@ -5,15 +5,330 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cytoplan.operators import features, merge, metrics, neighbors, pseudobulk, qc, trajectory
+from cytoplan.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+CELLS = "cells AS (SELECT c_custkey AS cell_id, r_name AS batch, c_mktsegment AS condition, c_acctbal AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"
+COUNTS = "counts AS (SELECT o_custkey AS cell_id, p_name AS gene_id, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
+POINTS = "points AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, label::BIGINT AS cluster, vec_id % 3 AS batch, (label % 5)::BIGINT AS time FROM embeddings)"
+KNN = (
+    POINTS + ", dist AS (SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v), 9) AS distance FROM points a JOIN points b ON a.id <> b.id)"
+    ", nn AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY distance, j) AS rank, distance FROM dist) WHERE rank <= 15)"
+    ", edges AS (SELECT DISTINCT least(i, j) AS a, greatest(i, j) AS b FROM nn)"
+)
+#: The same patterns stand for ribosomal RNA and proteins in the query and in its SQL.
+RRNA, RIBO = "^(hot|red)", "^small"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
+
+
+def _nn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    points = tables.points(spark, sf_dir)
+    return points, neighbors.knn(points.select("id", "v"))
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qc.qc_metrics(tables.count_cells(spark, sf_dir), tables.counts(spark, sf_dir), RRNA, RIBO)
+
+
+_QC = f"""WITH {CELLS}, {COUNTS}, s AS (SELECT c.cell_id, coalesce(sum(value), 0) AS total_counts, count(*) FILTER (value > 0) AS detected_features,
+  coalesce(sum(value) FILTER (regexp_matches(gene_id, '{RRNA}', 'i')), 0) AS rrna_counts, coalesce(sum(value) FILTER (regexp_matches(gene_id, '{RIBO}', 'i')), 0) AS ribo_counts
+  FROM cells c LEFT JOIN counts USING (cell_id) GROUP BY 1), q AS (SELECT *, rrna_counts / greatest(total_counts, 1.0) AS rrna_fraction, ribo_counts / greatest(total_counts, 1.0) AS ribo_fraction FROM s)
+SELECT cell_id, round(total_counts, 6) AS total_counts, detected_features, round(rrna_counts, 6) AS rrna_counts, round(rrna_fraction, 6) AS rrna_fraction, round(100 * rrna_fraction, 6) AS pct_rrna,
+  round(ribo_counts, 6) AS ribo_counts, round(ribo_fraction, 6) AS ribo_fraction, round(100 * ribo_fraction, 6) AS pct_ribo FROM q"""
+
+
+@query(_QC)
+def qc_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_metrics(spark, sf_dir))
+
+
+@query(f"SELECT * FROM ({_QC}) WHERE total_counts >= 500 AND detected_features >= 20 AND rrna_fraction <= 0.2")
+def filter_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(qc.filter_cells(_metrics(spark, sf_dir), 500, 20, 0.2))
+
+
+_LOG = f"{COUNTS}, logs AS (SELECT cell_id, gene_id, value, ln(1 + value * 1e4 / greatest(sum(value) OVER (PARTITION BY cell_id), 1.0)) AS logcount FROM counts)"
+
+
+@query(f"WITH {_LOG} SELECT cell_id, gene_id, round(value, 6) AS value, round(logcount, 6) AS logcount FROM logs")
+def log_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.log_normalise(tables.counts(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {CELLS}, {_LOG}, n AS (SELECT count(*) AS n FROM cells), m AS (SELECT gene_id, sum(logcount) / any_value(n) AS mean, sum(logcount * logcount) / any_value(n) AS q FROM logs, n GROUP BY 1),
+v AS (SELECT gene_id, mean, greatest(q - mean * mean, 0) AS variance FROM m)
+SELECT gene_id, round(mean, 6) AS mean, round(variance, 6) AS variance, row_number() OVER (ORDER BY variance DESC, gene_id) AS rank FROM v QUALIFY rank <= 20"""
+)
+def variable_genes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = features.log_normalise(tables.counts(spark, sf_dir))
+    return rounded(features.top_features(features.gene_variance(logs, tables.count_cells(spark, sf_dir).count()), 20))
+
+
+@query(f"WITH {CELLS} SELECT cell_id, round((balance - min(balance) OVER ()) / (max(balance) OVER () - min(balance) OVER ()), 6) AS unit FROM cells")
+def scale_to_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.scale_to_unit(tables.count_cells(spark, sf_dir).select("cell_id", "balance"), "balance", "unit").select("cell_id", "unit"))
+
+
+@query(
+    f"""WITH {CELLS}, h AS (SELECT cell_id, CASE WHEN cell_id % 7 > 0 THEN balance END AS x FROM cells), f AS (SELECT cell_id, coalesce(x, (SELECT median(x) FROM h)) AS x FROM h)
+SELECT cell_id, round((x - avg(x) OVER ()) / stddev_samp(x) OVER (), 6) AS z FROM f"""
+)
+def safe_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = tables.count_cells(spark, sf_dir).select("cell_id", F.when(F.col("cell_id") % 7 > 0, F.col("balance")).alias("x"))
+    return rounded(features.safe_scale(cells, "x", "z").select("cell_id", "z"))
+
+
+_PB = f"""{CELLS}, {COUNTS}, samples AS (SELECT batch, condition, count(*) AS ncells, 'pb_' || row_number() OVER (ORDER BY batch, condition) AS pb_sample_id FROM cells GROUP BY 1, 2),
+pb AS (SELECT pb_sample_id, gene_id, sum(value) AS value FROM cells JOIN samples USING (batch, condition) JOIN counts USING (cell_id) GROUP BY 1, 2), size AS (SELECT pb_sample_id, sum(value) AS lib_size FROM pb GROUP BY 1)"""
+
+
+def _pseudobulk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return pseudobulk.pseudobulk(tables.count_cells(spark, sf_dir), tables.counts(spark, sf_dir), ["batch", "condition"])
+
+
+@query(f"WITH {_PB} SELECT pb_sample_id, gene_id, round(value, 6) AS value FROM pb")
+def pseudobulk_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_pseudobulk(spark, sf_dir)[1])
+
+
+@query(f"WITH {_PB} SELECT pb_sample_id, batch, condition, ncells, round(lib_size, 6) AS lib_size FROM samples JOIN size USING (pb_sample_id) WHERE ncells >= 50 AND lib_size >= 40000")
+def pseudobulk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples, values = _pseudobulk(spark, sf_dir)
+    return rounded(pseudobulk.filter_samples(samples, values, 50, 40000).select("pb_sample_id", "batch", "condition", "ncells", "lib_size"))
+
+
+@query(
+    f"""WITH {_PB}, p AS (SELECT pb_sample_id, lib_size, 2.0 * lib_size / avg(lib_size) OVER () AS prior FROM size), g AS (SELECT DISTINCT gene_id FROM pb)
+SELECT pb_sample_id, gene_id, round(log2((coalesce(value, 0) + prior) / (lib_size + 2 * prior) * 1e6), 6) AS logcpm FROM p CROSS JOIN g LEFT JOIN pb USING (pb_sample_id, gene_id)"""
+)
+def pseudobulk_logcpm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pseudobulk.log_cpm(_pseudobulk(spark, sf_dir)[1]))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS gene, p_brand AS contrast, (p_partkey * 7919 % 10007 + 1) / 10008.0 AS p FROM part),
+r AS (SELECT *, p * count(*) OVER (PARTITION BY contrast) / row_number() OVER (PARTITION BY contrast ORDER BY p, gene) AS raw FROM t)
+SELECT gene, contrast, round(p, 6) AS p, round(least(1.0, min(raw) OVER (PARTITION BY contrast ORDER BY p DESC, gene DESC ROWS UNBOUNDED PRECEDING)), 6) AS fdr FROM r"""
+)
+def adjusted_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("contrast"), ((F.col("p_partkey") * 7919 % 10007 + 1) / 10008.0).alias("p"))
+    return rounded(pseudobulk.benjamini_hochberg(p, "p", "gene", ["contrast"]))
+
+
+@query("SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q25, round(median(value), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75 FROM events GROUP BY 1")
+def quantiles_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pseudobulk.quantiles_by(tables.read(spark, sf_dir, "events"), ["event_type"], "value"))
+
+
+@query(
+    f"""WITH {POINTS}, l AS (SELECT * FROM (SELECT DISTINCT cluster FROM points) CROSS JOIN (SELECT DISTINCT batch FROM points)), n AS (SELECT cluster, batch, count(*) AS n FROM points GROUP BY ALL)
+SELECT cluster, batch, coalesce(n, 0) AS n, round(coalesce(n, 0) / greatest(sum(coalesce(n, 0)) OVER (PARTITION BY cluster), 1), 6) AS share FROM l LEFT JOIN n USING (cluster, batch)"""
+)
+def crosstab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pseudobulk.normalised_crosstab(tables.points(spark, sf_dir), "cluster", "batch"))
+
+
+def _objects(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    cells, counts = tables.count_cells(spark, sf_dir), tables.counts(spark, sf_dir)
+    out = []
+    for k, prefix in enumerate(("s0", "s1")):
+        own = cells.where(F.col("cell_id") % 2 == k).select((F.col("cell_id") - k).alias("cell_id"), "batch")
+        some = counts.where(F.col("cell_id") % 2 == k).where(F.col("gene_id") >= "b" if k else F.col("gene_id") < "s")
+        out.append((prefix, own, some.withColumn("cell_id", F.col("cell_id") - k)))
+    return out
+
+
+_MERGE = f"""WITH {CELLS}, {COUNTS}, k AS (SELECT cell_id % 2 AS o, cell_id - cell_id % 2 AS id, gene_id, value FROM counts WHERE CASE WHEN cell_id % 2 = 1 THEN gene_id >= 'b' ELSE gene_id < 's' END),
+g AS (SELECT gene_id FROM k WHERE o = 0 {{op}} SELECT gene_id FROM k WHERE o = 1) SELECT 's' || o || '_' || id AS cell_id, count(*) AS n_genes, round(sum(value), 6) AS total FROM k WHERE gene_id IN (SELECT gene_id FROM g) GROUP BY 1"""
+
+
+def _merged(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    _, counts = merge.merge_objects(_objects(spark, sf_dir), mode)
+    return rounded(counts.groupBy("cell_id").agg(F.count(F.lit(1)).alias("n_genes"), F.sum("value").alias("total")))
+
+
+@query(_MERGE.format(op="INTERSECT"))
+def merge_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "intersect")
+
+
+@query(_MERGE.format(op="UNION"))
+def merge_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _merged(spark, sf_dir, "union")
+
+
+@query(
+    """WITH a AS (SELECT p_partkey AS gene, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS brand FROM part WHERE p_partkey % 5 < 4), b AS (SELECT p_partkey AS gene, p_type AS brand, p_size::BIGINT AS size FROM part WHERE p_partkey % 5 > 1)
+SELECT gene, coalesce(a.brand, b.brand) AS brand, size FROM a FULL JOIN b USING (gene)"""
+)
+def gene_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = tables.read(spark, sf_dir, "part").withColumnRenamed("p_partkey", "gene")
+    a = part.where("gene % 5 < 4").select("gene", F.when(F.col("gene") % 3 > 0, F.col("p_brand")).alias("brand"))
+    b = part.where("gene % 5 > 1").select("gene", F.col("p_type").alias("brand"), F.col("p_size").cast("long").alias("size"))
+    return merge.coalesce_metadata([a, b], "gene")
+
+
+@query(f"WITH {KNN} SELECT i, j, rank, round(distance, 6) AS distance FROM nn")
+def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_nn(spark, sf_dir)[1])
+
+
+@query(f"WITH {KNN} SELECT * FROM edges")
+def knn_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbors.adjacency(_nn(spark, sf_dir)[1])
+
+
+@query(f"WITH {KNN} SELECT least(i, j) AS a, greatest(i, j) AS b, round(avg(1 / (1 + distance)), 6) AS weight FROM nn GROUP BY 1, 2")
+def knn_weighted_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(neighbors.weighted_graph(_nn(spark, sf_dir)[1]))
+
+
+@query(
+    f"""WITH {POINTS}, x AS (SELECT batch, unnest(range(len(v))) AS dim, unnest(v) AS x FROM points), m AS (SELECT *, avg(x) OVER (PARTITION BY dim) AS a, avg(x) OVER (PARTITION BY dim, batch) AS g FROM x),
+d AS (SELECT dim, sum((g - a) ** 2) / sum((x - a) ** 2) AS r FROM m GROUP BY 1) SELECT round(1 - avg(r), 6) AS value FROM d"""
+)
+def pcr_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.pcr_batch(tables.points(spark, sf_dir), "batch"))
+
+
+def _lisi_sql(label: str) -> str:
+    return f"""WITH {KNN}, n AS (SELECT i, {label} AS l, count(*) AS n FROM nn JOIN points ON j = id GROUP BY ALL), s AS (SELECT i, n / sum(n) OVER (PARTITION BY i) AS p FROM n), e AS (SELECT i, 1 / sum(p * p) AS lisi FROM s GROUP BY 1)
+SELECT round(avg(lisi), 6) AS value, round(avg((lisi - 1) / ((SELECT count(DISTINCT {label}) FROM points) - 1)), 6) AS mixing_score, round(avg(1 / lisi), 6) AS label_score FROM e"""
+
+
+@query(_lisi_sql("batch"))
+def ilisi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    return rounded(metrics.lisi(nn, points.select("id", "batch")))
+
+
+@query(_lisi_sql("cluster"))
+def clisi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    return rounded(metrics.lisi(nn, points.select("id", "cluster")))
+
+
+@query(
+    f"""WITH {KNN}, w AS (SELECT batch, count(*) / sum(count(*)) OVER () AS g FROM points GROUP BY 1), n AS (SELECT i, batch, count(*) / 15.0 AS p FROM nn JOIN points ON j = id GROUP BY 1, 2),
+f AS (SELECT id AS i, w.batch, g FROM points CROSS JOIN w), d AS (SELECT i, sum(abs(coalesce(p, 0) - g)) / 2 AS d FROM f LEFT JOIN n USING (i, batch) GROUP BY 1) SELECT round(1 - avg(d), 6) AS value FROM d"""
+)
+def kbet_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    return rounded(metrics.kbet_like(nn, points.select("id", "batch")))
+
+
+@query(
+    f"""WITH RECURSIVE {KNN}, inside AS MATERIALIZED (SELECT a, b, p.cluster FROM edges JOIN points p ON a = p.id JOIN points q ON b = q.id WHERE p.cluster = q.cluster), both_ways AS MATERIALIZED (SELECT a, b FROM inside UNION SELECT b, a FROM inside),
+reach AS (SELECT id AS x, id AS y FROM points UNION SELECT x, b FROM reach JOIN both_ways ON y = a), c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1), s AS (SELECT cluster, c, count(*) AS n FROM c JOIN points ON x = id GROUP BY ALL),
+l AS (SELECT cluster, max(n) / sum(n) AS share FROM s GROUP BY 1) SELECT round(avg(share), 6) AS value FROM l"""
+)
+def graph_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    return rounded(metrics.graph_connectivity(neighbors.adjacency(nn), points.select("id", "cluster")))
+
+
+@query(
+    f"""WITH {POINTS}, c AS (SELECT cluster, id % 10 AS k, count(*)::DOUBLE AS n FROM points GROUP BY ALL), t AS (SELECT sum(n) AS t FROM c), x AS (SELECT sum(s * (s - 1) / 2) AS p, -sum(s / t * ln(s / t)) AS h FROM (SELECT sum(n) AS s FROM c GROUP BY cluster), t),
+y AS (SELECT sum(s * (s - 1) / 2) AS p, -sum(s / t * ln(s / t)) AS h FROM (SELECT sum(n) AS s FROM c GROUP BY k), t), b AS (SELECT sum(n * (n - 1) / 2) AS p, -sum(n / t * ln(n / t)) AS h, any_value(t) AS t FROM c, t)
+SELECT round((b.p - x.p * y.p / (t * (t - 1) / 2)) / ((x.p + y.p) / 2 - x.p * y.p / (t * (t - 1) / 2)), 6) AS ari, round(2 * (x.h + y.h - b.h) / (x.h + y.h), 6) AS nmi FROM b, x, y"""
+)
+def label_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(metrics.agreement(tables.points(spark, sf_dir).withColumn("k", F.col("id") % 10), "cluster", "k"))
+
+
+_TIMES = "times AS (SELECT id, CASE WHEN id % 11 > 0 THEN time + (id % 2) * 2 END AS time, cluster FROM points)"
+
+
+def _timed(points: DataFrame) -> DataFrame:
+    return points.select("id", "cluster", F.when(F.col("id") % 11 > 0, F.col("time") + F.col("id") % 2 * 2).alias("time"))
+
+
+@query(f"WITH {POINTS}, {_TIMES}, t AS (SELECT DISTINCT time FROM times WHERE time IS NOT NULL), g AS (SELECT time - lag(time) OVER (ORDER BY time) AS gap FROM t) SELECT coalesce(median(gap) FILTER (gap > 0), 1)::DOUBLE AS step FROM g")
+def typical_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trajectory.typical_step(_timed(tables.points(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {KNN}, e AS (SELECT p.cluster AS ca, q.cluster AS cb FROM edges JOIN points p ON a = p.id JOIN points q ON b = q.id), o AS (SELECT least(ca, cb) AS f, greatest(ca, cb) AS t, count(*) AS n FROM e WHERE ca <> cb GROUP BY ALL),
+d AS (SELECT c, count(*) AS d FROM (SELECT ca AS c FROM e UNION ALL SELECT cb FROM e) GROUP BY 1), l AS (SELECT DISTINCT cluster AS c FROM points), s AS (SELECT sum(d) AS s FROM d)
+SELECT a.c AS from_cluster, b.c AS to_cluster, coalesce(n, 0) AS observed, round(x.d * y.d / s, 6) AS expected, round(coalesce(n, 0) / (x.d * y.d / s + 1e-8), 6) AS weight
+FROM l a JOIN l b ON a.c < b.c JOIN d x ON x.c = a.c JOIN d y ON y.c = b.c CROSS JOIN s LEFT JOIN o ON f = a.c AND t = b.c"""
+)
+def topology_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    return rounded(trajectory.topology_weights(neighbors.adjacency(nn), points))
+
+
+@query(
+    f"""WITH {KNN}, {_TIMES}, e AS (SELECT CASE WHEN p.cluster < q.cluster THEN p.cluster ELSE q.cluster END AS f, greatest(p.cluster, q.cluster) AS t, CASE WHEN p.cluster > q.cluster THEN p.time - q.time ELSE q.time - p.time END AS d
+FROM edges JOIN times p ON a = p.id JOIN times q ON b = q.id WHERE p.cluster <> q.cluster AND p.time IS NOT NULL AND q.time IS NOT NULL) SELECT f AS from_cluster, t AS to_cluster, count(*) AS n, round(avg(sign(d)), 6) AS flow, round(median(d), 6) AS median_delta FROM e GROUP BY 1, 2"""
+)
+def time_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    d = trajectory.time_deltas(neighbors.adjacency(nn), _timed(points))
+    return rounded(d.groupBy("from_cluster", "to_cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(F.signum("delta")).alias("flow"), F.median("delta").alias("median_delta")))
+
+
+@query(
+    f"""WITH {POINTS}, {_TIMES}, s AS (SELECT cluster, time, count(*) / sum(count(*)) OVER (PARTITION BY cluster) AS p FROM times WHERE time IS NOT NULL GROUP BY 1, 2), l AS (SELECT DISTINCT cluster AS c FROM points),
+o AS (SELECT a.cluster AS f, b.cluster AS t, sum(least(a.p, b.p)) AS o FROM s a JOIN s b USING (time) WHERE a.cluster < b.cluster GROUP BY 1, 2)
+SELECT a.c AS from_cluster, b.c AS to_cluster, round(coalesce(o, 0), 6) AS overlap FROM l a JOIN l b ON a.c < b.c LEFT JOIN o ON f = a.c AND t = b.c"""
+)
+def time_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(trajectory.time_overlap(_timed(tables.points(spark, sf_dir))))
+
+
+@query(
+    f"""WITH {KNN}, {_TIMES}, v AS (SELECT t.id, t.time, p.v[1] AS pt FROM times t JOIN points p USING (id) WHERE t.time IS NOT NULL), e AS (SELECT sign(q.time - p.time) * sign(q.pt - p.pt) AS s FROM edges JOIN v p ON a = p.id JOIN v q ON b = q.id WHERE p.time <> q.time)
+SELECT count(*) AS n_edges, round(avg((s > 0)::INT), 6) AS concordance, round(avg((s < 0)::INT), 6) AS inversion, round(1 - avg((s < 0)::INT), 6) AS direction_score, round(avg((s = 0)::INT), 6) AS tie_rate FROM e"""
+)
+def local_temporal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    values = _timed(points).join(points.select("id", F.col("v")[0].alias("pt")), "id").select("id", "time", "pt")
+    return rounded(trajectory.local_order(neighbors.adjacency(nn), values))
+
+
+@query(
+    f"""WITH {KNN}, {_TIMES}, m AS (SELECT cluster, median(time) AS m FROM times GROUP BY 1), e AS (SELECT p.cluster AS f, q.cluster AS t, count(*)::DOUBLE AS w FROM edges JOIN points p ON a = p.id JOIN points q ON b = q.id WHERE p.cluster <> q.cluster GROUP BY 1, 2),
+d AS (SELECT w, y.m - x.m AS d FROM e JOIN m x ON x.cluster = f JOIN m y ON y.cluster = t)
+SELECT round(coalesce(sum(w) FILTER (d < 0), 0), 6) AS anticausal, round(coalesce(sum(w) FILTER (d = 0), 0), 6) AS neutral, round(coalesce(sum(w) FILTER (d > 0), 0), 6) AS forward,
+round(coalesce(sum(w) FILTER (d < 0), 0) / sum(w), 6) AS fraction, round(1 - coalesce(sum(w) FILTER (d < 0), 0) / sum(w), 6) AS score FROM d"""
+)
+def anticausal_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    of = points.select("id", "cluster")
+    e = neighbors.adjacency(nn).join(of.toDF("a", "from_cluster"), "a").join(of.toDF("b", "to_cluster"), "b").where("from_cluster != to_cluster")
+    medians = _timed(points).groupBy("cluster").agg(F.median("time").alias("median"))
+    return rounded(trajectory.anticausal_mass(e.groupBy("from_cluster", "to_cluster").agg(F.count(F.lit(1)).cast("double").alias("weight")), medians))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    return qc_metrics(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
