@@ -134,7 +134,8 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, decay: float
     order = rng.permutation(len(texts))  # of the texts, once
     by_doc = _Mean.counted(np.argsort(order)[row], word, len(texts), int(known.sum()))
     y = np.stack((1 - toxic, toxic), 1).astype(np.float32)[order]
-    batches = [(by_doc.rows(k, min(len(y), k + BATCH)), y[k : k + BATCH]) for k in range(0, len(y), BATCH)]
+    size = max(16, min(BATCH, len(y) // 20))  # few texts take as many steps as many
+    batches = [(by_doc.rows(k, min(len(y), k + size)), y[k : k + size]) for k in range(0, len(y), size)]
     p = [np.zeros((BUCKETS, DIM), np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.log(np.array([1 - share, share], np.float32))]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     total = epochs * len(batches)
