@@ -96,10 +96,12 @@ def judge(documents: DataFrame, ratios: list[int], *carry: str, threshold: float
     n = F.greatest(2 * F.col("n_words") - 1, F.lit(1))
     limit = round(threshold * ngrams.SCALE)
     kept = F.coalesce(~F.col("base_failed") & (F.col("llr_total") >= n * limit), F.lit(False))
-    return a.select(
+    every = F.struct(
         "doc_id", *carry, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         kept.alias("kept"), (F.col("llr_total") / (n * ngrams.SCALE)).alias("llr"),
     )
+    # A generated row: filters on kept stay above it, instead of repeating the expressions that it is made of.
+    return a.select(F.explode_outer(F.array(every)).alias("judged")).select("judged.*")
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
