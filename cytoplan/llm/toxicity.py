@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from cytoplan.llm import textbuf
 
 BUCKETS, DIM, NGRAMS = 1 << 17, 4, (3, 4, 5)
-MAX_TRAIN, EPOCHS, BATCH, RATE, DECAY = 8000, 12, 400, 0.1, 0.1
+MAX_TRAIN, EPOCHS, BATCH, RATE, DECAY = 5000, 12, 400, 0.1, 0.1
 #: Words of fewer training texts teach their n-grams nothing but chance.
 MIN_TEXTS = 4
 FOLDS = 5
@@ -63,13 +63,18 @@ def grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return np.concatenate(whose), (np.concatenate(found) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def bags(piece: textbuf.Piece):
-    """Distinct words of a piece with their grams, and the place of each word of each row among them."""
+def lowered(piece: textbuf.Piece):
+    """The piece in lower case, and its words as in textbuf.words()."""
     piece.data = np.frombuffer(piece.data.tobytes().lower(), np.uint8)  # of bytes: A-Z alone
-    starts, ends, first = textbuf.words(piece)
-    hashes, one, place = np.unique(textbuf.word_hashes(piece, starts, ends), return_index=True, return_inverse=True)
+    return piece, *textbuf.words(piece)
+
+
+def bags(piece: textbuf.Piece):
+    """The number of distinct words of a piece, their grams, the place of each word of each row among them, and the rows' first words."""
+    _, starts, ends, first = lowered(piece)
+    _, one, place = np.unique(textbuf.word_hashes(piece, starts, ends), return_index=True, return_inverse=True)
     word, bucket = grams(piece.data, starts[one], ends[one])
-    return len(one), word, bucket, place, first, hashes
+    return len(one), word, bucket, place, first
 
 
 class _Mean:
@@ -108,28 +113,33 @@ def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, decay: float
     share = float(toxic.mean()) if len(toxic) else 0.5
     if share in (0.0, 1.0) or len(toxic) == 0:
         return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -13, 13)))
-    rows, words, hashes, gram_word, gram = [], [], [], [], []
-    at = 0
-    for piece in textbuf.pieces(pa.array(texts, pa.string()), 1 << 24):
-        n, w, b, place, first, h = bags(piece)
-        hashes.append(h)
-        rows.append(piece.first + np.repeat(np.arange(len(piece)), np.diff(first)))
-        words.append(place + at)
-        gram_word.append(w + at)
-        gram.append(b)
-        at += n
-    row, word, gram_word, gram = (np.concatenate(x) for x in (rows, words, gram_word, gram))
-    # One word of several pieces is one word; rare ones are left out.
-    _, same = np.unique(np.concatenate(hashes), return_inverse=True)
-    word = same[word]
+    column = pa.array(texts, pa.string())
+    rows, hashes = [], []
+    for piece in textbuf.pieces(column):
+        _, starts, ends, first = lowered(piece)
+        rows.append((piece.first + np.repeat(np.arange(len(piece)), np.diff(first))).astype(np.int32))
+        hashes.append(textbuf.word_hashes(piece, starts, ends))
+    row = np.concatenate(rows)
+    distinct, word = np.unique(np.concatenate(hashes), return_inverse=True)
+    del rows, hashes
+    # Rare words are left out; the n-grams are those of the other words, each taken where it first stands.
     pairs = np.unique(word * len(texts) + row)
-    known = np.bincount(pairs // len(texts), minlength=same.max() + 1) >= min(MIN_TEXTS, max(1, len(texts) // 100))
-    number = np.cumsum(known) - 1
-    of_gram, once = same[gram_word], np.zeros(at, bool)
-    once[np.unique(same, return_index=True)[1]] = True
-    use = known[of_gram] & once[gram_word]
+    known = np.bincount(pairs // len(texts), minlength=len(distinct)) >= min(MIN_TEXTS, max(1, len(texts) // 100))
+    number = np.where(known, np.cumsum(known) - 1, -1)
+    missing = known.copy()
+    gram_word, gram = [], []
+    for piece in textbuf.pieces(column):
+        _, starts, ends, _ = lowered(piece)
+        h, one = np.unique(textbuf.word_hashes(piece, starts, ends), return_index=True)
+        at = np.searchsorted(distinct, h)
+        new = missing[at]
+        missing[at] = False
+        w, g = grams(piece.data, starts[one[new]], ends[one[new]])
+        gram_word.append(number[at[new]][w])
+        gram.append(g)
     row, word = row[known[word]], number[word[known[word]]]
-    by_word = _Mean.counted(number[of_gram[use]], gram[use], int(known.sum()), BUCKETS)
+    by_word = _Mean.counted(np.concatenate(gram_word), np.concatenate(gram), int(known.sum()), BUCKETS)
+    del pairs, distinct, gram_word, gram
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(texts))  # of the texts, once
     by_doc = _Mean.counted(np.argsort(order)[row], word, len(texts), int(known.sum()))
@@ -169,7 +179,7 @@ def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in textbuf.pieces(batch.column(1)):
-            n, word, bucket, place, first, _ = bags(piece)
+            n, word, bucket, place, first = bags(piece)
             value = np.bincount(word, model.weights[bucket], n) / np.maximum(np.bincount(word, minlength=n), 1)
             size = np.diff(first)
             row = np.repeat(np.arange(len(size)), size)
