@@ -13,16 +13,22 @@ from pyspark.sql.window import Window
 BLOCK = 1024
 
 
+def block_pairs(points: DataFrame, block: int = BLOCK) -> DataFrame:
+    """left, right: the rows of every two blocks of points, a row for each two blocks. points: id, v and other columns."""
+    blocks = max(1, -(-points.count() // block))
+    row = F.struct("id", F.col("v").cast("array<double>").alias("v"), *(c for c in points.columns if c not in ("id", "v")))
+    packed = points.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(row).alias("rows"))
+    left, right = packed.toDF("b1", "left"), packed.toDF("b2", "right")
+    return left.crossJoin(right).repartition(max(1, min(blocks * blocks, 2000)), "b1", "b2").select("left", "right")
+
+
 def knn(points: DataFrame, k: int = 15, block: int = BLOCK) -> DataFrame:
     """(i, j, rank, distance) of the k nearest others of every point. points: id (long), v (array of numbers).
 
     Points are packed in blocks; a task holds two blocks and keeps k candidates for each point, so what is
     shuffled afterwards is k rows a point and block. Distances are rounded to 9 digits, ties go by id.
     """
-    blocks = max(1, -(-points.count() // block))
-    packed = points.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("id", F.col("v").cast("array<double>").alias("v"))).alias("rows"))
-    left, right = packed.toDF("b1", "left"), packed.toDF("b2", "right")
-    pairs = left.crossJoin(right).repartition(max(1, min(blocks * blocks, 2000)), "b1", "b2")  # a row for each two blocks
+    pairs = block_pairs(points.select("id", "v"), block)
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -36,7 +42,7 @@ def knn(points: DataFrame, k: int = 15, block: int = BLOCK) -> DataFrame:
                     out = pd.DataFrame({"i": np.repeat(i[at : at + 64], best.shape[1]), "j": j[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
                     yield out[np.isfinite(out.distance)]
 
-    found = pairs.select("left", "right").mapInPandas(nearest, "i long, j long, distance double")
+    found = pairs.mapInPandas(nearest, "i long, j long, distance double")
     rank = F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", F.col("rank").cast("long").alias("rank"), "distance")
 
@@ -69,3 +75,95 @@ def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 100) ->
             return jump.select("id", F.col("new").alias("component"))
         now = jump.select("id", F.col("new").alias("component"))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def mutual_pairs(points: DataFrame, first: DataFrame, second: DataFrame) -> DataFrame:
+    """(i, j) of two batches that are among each other's nearest. first: neighbours i -> j, second: j -> i."""
+    return first.select("i", "j").join(second.select(F.col("j").alias("i"), F.col("i").alias("j")), ["i", "j"])
+
+
+def knn_between(points: DataFrame, queries: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """(i, j, distance): the k nearest of `points` for every one of `queries`; ties by id."""
+    both = points.select("id", "v", F.lit(0).alias("side")).union(queries.select("id", "v", F.lit(1).alias("side")))
+    pairs = block_pairs(both, block)
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for a, b in zip(frame["left"], frame["right"], strict=True):
+                a, b = [r for r in a if r["side"] == 1], [r for r in b if r["side"] == 0]
+                if not a or not b:
+                    continue
+                i, j = np.array([r["id"] for r in a]), np.array([r["id"] for r in b])
+                x, y = np.array([r["v"] for r in a]), np.array([r["v"] for r in b])
+                for at in range(0, len(i), 64):
+                    d = np.round(np.sqrt(((x[at : at + 64, None] - y[None]) ** 2).sum(2)), 9)
+                    best = np.lexsort((np.broadcast_to(j, d.shape), d))[:, :k]
+                    yield pd.DataFrame({"i": np.repeat(i[at : at + 64], best.shape[1]), "j": j[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()})
+
+    found = pairs.mapInPandas(nearest, "i long, j long, distance double")
+    rank = F.row_number().over(Window.partitionBy("i").orderBy("distance", "j"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("i", "j", "distance")
+
+
+def cosine_normalised(points: DataFrame, floor: float = 1e-8) -> DataFrame:
+    """Vectors over their length, at least `floor`."""
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return points.withColumn("size__", F.greatest(size, F.lit(floor))).withColumn("v", F.transform("v", lambda x: x / F.col("size__"))).drop("size__")
+
+
+def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 3, rounds: int = 12) -> DataFrame:
+    """(id, community): modularity moves made for many vertices at once. vertices: id; edges: a, b, weight (a != b).
+
+    In each round about half of the vertices (by hash) may move to the neighbouring community of largest gain, which keeps
+    neighbours from swapping for ever; of a level's states the one of highest modularity counts. Communities
+    become the vertices of the next level. States are checkpointed; only sums reach the driver.
+    """
+    spark = vertices.sparkSession
+    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cytoplan-"))
+    links = edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").union(edges.select("b", "a", "weight")).groupBy("i", "j").agg(F.sum("weight").alias("w")).checkpoint()
+    whole = links.agg(F.sum("w")).first()[0]
+    member = vertices.select("id", F.col("id").alias("community"))
+    if not whole:
+        return vertices.select("id", F.lit(0).cast("long").alias("community"))  # no edges: one cluster
+    nodes = member.select("id").checkpoint()
+    top = -1.0
+    for _ in range(levels):
+        strength = nodes.join(links.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("k")), "id", "left").na.fill(0.0, ["k"]).checkpoint()
+        state, best, quality, idle = strength.withColumn("c", F.col("id")).checkpoint(), None, -1.0, 0
+        for step in range(rounds):
+            near = links.join(state.select(F.col("id").alias("j"), "c"), "j").groupBy("i", "c").agg(F.sum(F.when(F.col("i") != F.col("j"), F.col("w")).otherwise(0.0)).alias("w"), F.sum("w").alias("all"))
+            total = state.groupBy("c").agg(F.sum("k").alias("total"))
+            inside = near.join(state.select(F.col("id").alias("i"), "c"), ["i", "c"]).agg(F.coalesce(F.sum("all"), F.lit(0.0)).alias("s"))
+            now = inside.crossJoin(total.agg(F.sum(F.col("total") * F.col("total")).alias("q"))).first()
+            q = now["s"] / whole - resolution * now["q"] / whole**2
+            best, quality, idle = (state, q, 0) if q > quality + 1e-9 else (best, quality, idle + 1)
+            if idle == 3:
+                break
+            own = state.select(F.col("id").alias("i"), "k", F.col("c").alias("old"))
+            options = near.select("i", "c", "w").union(state.select(F.col("id"), "c", F.lit(0.0))).groupBy("i", "c").agg(F.sum("w").alias("w")).join(own, "i").join(total, "c")
+            others = F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
+            gain = F.round(F.col("w") - resolution * F.col("k") * others / whole, 9)
+            pick = options.withColumn("gain", gain).groupBy("i").agg(
+                F.max_by("c", F.struct("gain", -F.col("c"))).alias("c"), F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("stay"), F.first("old").alias("old"), F.first("k").alias("k")
+            )
+            wants = (F.col("top") > F.col("stay")) & (F.pmod(F.xxhash64("i", F.lit(step)), F.lit(2)) == 0)
+            state = pick.select(F.col("i").alias("id"), "k", F.when(wants, F.col("c")).otherwise(F.col("old")).alias("c")).checkpoint()
+        if quality <= top + 1e-9:
+            break
+        top = quality
+        member = member.join(best.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")).checkpoint()
+        named = best.select("id", "c")
+        links = links.join(named.toDF("i", "x"), "i").join(named.toDF("j", "y"), "j").groupBy(F.col("x").alias("i"), F.col("y").alias("j")).agg(F.sum("w").alias("w")).checkpoint()
+        nodes = named.select(F.col("c").alias("id")).distinct().checkpoint()
+    return member
+
+
+def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """One row with `modularity`. edges: a, b, weight; communities: id, community."""
+    named = edges.join(communities.toDF("a", "x"), "a").join(communities.toDF("b", "y"), "b")
+    ends = named.select(F.col("x").alias("c"), "weight").union(named.select("y", "weight")).groupBy("c").agg(F.sum("weight").alias("d"))
+    facts = named.agg(F.sum(F.when(F.col("x") == F.col("y"), F.col("weight")).otherwise(0.0)).alias("s"), F.sum("weight").alias("m")).crossJoin(ends.agg(F.sum(F.col("d") * F.col("d")).alias("q")))
+    return facts.select((F.col("s") / F.col("m") - resolution * F.col("q") / (4 * F.col("m") * F.col("m"))).alias("modularity"))

@@ -332,3 +332,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from cytoplan.plans import trajectories  # noqa: E402, F401  its queries register themselves
