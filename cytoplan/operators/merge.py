@@ -38,3 +38,26 @@ def coalesce_metadata(tables: list[DataFrame], key: str) -> DataFrame:
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("order__", c)))[c].alias(c)
     return rows.groupBy(key).agg(*(first(c) for c in rows.columns if c not in (key, "order__")))
+
+
+def merge_reductions(objects: list[tuple[DataFrame, dict[str, DataFrame]]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """(kept, skipped): embeddings that all objects have, with null for cells without one, and why others were left out.
+
+    objects: (cells, reductions by name); cells: cell_id, original_cell_id; reductions: cell_id (the original), embedding.
+    """
+    kept, skipped = {}, {}
+    for name in [n for n in objects[0][1] if all(n in r for _, r in objects)]:
+        parts, sizes = [], set()
+        for cells, reductions in objects:
+            size = F.size("embedding")
+            ends = reductions[name].agg(F.min(size).alias("low"), F.max(size).alias("high")).first()
+            sizes |= {ends["low"], ends["high"]}
+            ids = cells.select("cell_id", F.col("original_cell_id").alias("id__"))
+            parts.append(ids.join(reductions[name].select(F.col("cell_id").alias("id__"), "embedding"), "id__", "left").drop("id__"))
+        if len(sizes) > 1:
+            skipped[name] = f"dimension mismatch ({', '.join(map(str, sorted(s for s in sizes if s is not None)))})"
+        elif any(p.where("embedding is not null").isEmpty() for p in parts):
+            skipped[name] = "no cell of an object is in its embedding"
+        else:
+            kept[name] = reduce(DataFrame.unionByName, parts)
+    return kept, skipped
