@@ -334,4 +334,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from cytoplan.plans import trajectories  # noqa: E402, F401  its queries register themselves
+from cytoplan.plans import expression, trajectories  # noqa: E402, F401  their queries register themselves
