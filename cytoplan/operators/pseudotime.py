@@ -5,16 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-EPS = 1e-8
-
-
-def _settled(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
+from cytoplan.functions.settle import settled
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cytoplan-"))
-    return df.checkpoint()
+EPS = 1e-8
 
 
 def path_lengths(arcs: DataFrame, starts: DataFrame, longest: bool = False, max_rounds: int = 1000) -> DataFrame:
@@ -23,12 +16,13 @@ def path_lengths(arcs: DataFrame, starts: DataFrame, longest: bool = False, max_
     One join a round, each round adds one arc; it ends when no length changes.
     """
     best = F.max if longest else F.min
-    now = _settled(starts.select(F.col("cluster").alias("source"), "cluster", F.lit(0.0).alias("length")))
-    own = _settled(arcs.groupBy("s", "t").agg(best("step").alias("step")))
+    now = settled(starts.select(F.col("cluster").alias("source"), "cluster", F.lit(0.0).alias("length")))
+    own = settled(arcs.groupBy("s", "t").agg(best("step").alias("step")))
     for _ in range(max_rounds):
         more = now.join(own, F.col("cluster") == F.col("s")).select("source", F.col("t").alias("cluster"), (F.col("length") + F.col("step")).alias("length"))
-        after = _settled(now.union(more).groupBy("source", "cluster").agg(best("length").alias("length")))
-        if after.exceptAll(now).isEmpty():
+        after = settled(now.union(more).groupBy("source", "cluster").agg(best("length").alias("length")))
+        moved = after.join(now.withColumnRenamed("length", "old"), ["source", "cluster"], "left").where("old is null or old != length")
+        if moved.isEmpty():
             return after
         now = after
     raise RuntimeError(f"path lengths did not settle in {max_rounds} rounds")
@@ -64,8 +58,9 @@ def cluster_pseudotime(edges: DataFrame, medians: DataFrame, root: DataFrame, st
     reaches but that hang together with the root come after it by time and undirected distance.
     """
     known = medians.agg(F.max("median").alias("top"))
+    edges = settled(edges)
     base = medians.crossJoin(F.broadcast(root.toDF("root"))).crossJoin(F.broadcast(known)).crossJoin(F.broadcast(step))  # one row each
-    order = base.select("cluster", "median", "root", "step", F.struct((F.col("cluster") != F.col("root")).alias("later"), F.coalesce("median", "top").alias("m"), F.col("cluster").alias("c")).alias("place"))
+    order = settled(base.select("cluster", "median", "root", "step", F.struct((F.col("cluster") != F.col("root")).alias("later"), F.coalesce("median", "top").alias("m"), F.col("cluster").alias("c")).alias("place")))
     e = edges.join(order.select(F.col("cluster").alias("from_cluster"), F.col("median").alias("m1"), F.col("place").alias("o1"), "step"), "from_cluster")
     e = e.join(order.select(F.col("cluster").alias("to_cluster"), F.col("median").alias("m2"), F.col("place").alias("o2")), "to_cluster").where("o1 < o2")
     heaviest = edges.agg(F.max("weight").alias("heaviest"))
@@ -92,7 +87,7 @@ def terminals(edges: DataFrame, cluster_pt: DataFrame, root: DataFrame) -> DataF
     out = edges.where("not ambiguous").join(pts.toDF("from_cluster", "p1"), "from_cluster").join(pts.toDF("to_cluster", "p2"), "to_cluster")
     state = out.groupBy(F.col("from_cluster").alias("cluster")).agg(F.max((F.col("p2") > F.col("p1") + EPS).cast("int")).alias("later"), F.max(F.coalesce("p1", "p2").isNotNull().cast("int")).alias("known"))
     found = rest.join(state, "cluster", "left").where("known is null or (known = 1 and coalesce(later, 0) = 0)").select("cluster")
-    found = _settled(found)
+    found = settled(found)
     if not found.isEmpty():
         return found
     from cytoplan.operators.neighbors import components
@@ -107,10 +102,10 @@ def absorption(transitions: DataFrame, ends: DataFrame, rounds: int = 40) -> Dat
 
     transitions: from_cluster, to_cluster, p. Rows are brought to sum 1 over the terminals, or 0 where none is reached. Clusters are few.
     """
-    now = _settled(transitions.groupBy("from_cluster", "to_cluster").agg(F.sum("p").alias("p")))
+    now = settled(transitions.groupBy("from_cluster", "to_cluster").agg(F.sum("p").alias("p")))
     for _ in range(rounds):
         further = now.toDF("from_cluster", "m", "p").join(now.toDF("m", "to_cluster", "q"), "m").groupBy("from_cluster", "to_cluster").agg(F.sum(F.col("p") * F.col("q")).alias("p")).where("p > 1e-15")
-        after = _settled(further)
+        after = settled(further)
         moved = after.join(now.withColumnRenamed("p", "old"), ["from_cluster", "to_cluster"], "full").where("abs(coalesce(p, 0) - coalesce(old, 0)) > 1e-12")
         now = after
         if moved.isEmpty():

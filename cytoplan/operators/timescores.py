@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
+from cytoplan.functions.settle import settled
+
 
 def average_ranks(df: DataFrame, column: str, to: str) -> DataFrame:
     """Ranks from 1, ties sharing their mean, from the counts of distinct values.
@@ -108,16 +110,11 @@ def onset_summary(onsets: DataFrame) -> DataFrame:
 
 def reachable(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """All (from_cluster, to_cluster) with a directed path; doubling its length each round. For graphs of clusters, not of cells."""
-    spark = edges.sparkSession
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="cytoplan-"))
-    now = edges.select("from_cluster", "to_cluster").distinct().checkpoint()
+    now = settled(edges.select("from_cluster", "to_cluster").distinct())
     size = now.count()
     for _ in range(max_rounds):
         further = now.toDF("from_cluster", "m").join(now.toDF("m", "to_cluster"), "m").select("from_cluster", "to_cluster")
-        now = now.union(further).distinct().checkpoint()
+        now = settled(now.union(further).distinct())
         before, size = size, now.count()
         if size == before:
             return now

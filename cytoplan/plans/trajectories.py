@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cytoplan.functions.settle import settled
 from cytoplan.operators import metrics, neighbors, pseudotime, timescores, trajectory
 from cytoplan.plans.registry import _TIMES, KNN, POINTS, _nn, _timed, query, rounded
 from cytoplan.sources import tables
@@ -244,15 +245,15 @@ def mutual_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, nn = _nn(spark, sf_dir)
-    return neighbors.louvain(points.select("id"), neighbors.weighted_graph(nn).checkpoint())
+    return neighbors.louvain(points.select("id"), neighbors.weighted_graph(nn))
 
 
 @query()
 def cluster_pseudotime(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, edges = _graph(spark, sf_dir)
-    cells, edges = _timed(points), edges.checkpoint()
+    cells, edges = _timed(points), settled(edges)
     medians = cells.groupBy("cluster").agg(F.median("time").alias("median"))
-    return rounded(pseudotime.cluster_pseudotime(edges, medians, pseudotime.choose_root(edges, cells).checkpoint(), trajectory.typical_step(cells)))
+    return rounded(pseudotime.cluster_pseudotime(edges, medians, settled(pseudotime.choose_root(edges, cells)), trajectory.typical_step(cells)))
 
 
 @query()
