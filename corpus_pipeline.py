@@ -1,7 +1,7 @@
 """A corpus pipeline of five stages, each written as Parquet and read again as the next one's documents.
 
 Quality rules drop rejected documents; line dedup deletes later copies of line runs from the texts; near-dedup keeps the
-document of smallest doc_id of each group; decontamination drops documents that hold a benchmark item; BPE gives the ids.
+document of smallest doc_id of each group of texts whose five-word shingles have Jaccard 0.8 or more; decontamination drops documents that hold a benchmark item; BPE gives the ids.
 
 Defined cases are those of the operators. All but the last stage return the columns of documents, n_chars following
 text. SQL can't express the stages (hashed models, reachability, edit distance, BPE), so ORACLE_SQL is None; the stages are tested
@@ -15,8 +15,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoplan.llm import bpe, decontaminate, linedup, quality_rules, simhash
-from cytoplan.llm.common import packed, read, unpacked, written
+from cytoplan.llm import bpe, decontaminate, linedup, neardup, quality_rules
+from cytoplan.llm.common import packed, read, unpacked, with_copy_numbers, written
 
 ORACLE_SQL = None
 #: Words in a shingle of the near-duplicate stage.
@@ -34,11 +34,10 @@ def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = simhash.near_duplicates(docs, shingle=SHINGLE)
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count()
-    kept = docs.join(first.select("doc_id"), docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    # Rows of one doc_id and text are copies of each other, too.
-    return kept if first.where("count > 1").isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    rows = with_copy_numbers(packed(docs), "row")
+    first = neardup.first_copies(rows, SHINGLE)
+    kept = rows.join(first, rows.doc_id.eqNullSafe(first.doc_id) & (rows.copy == first.copy), "left_semi")
+    return kept.select(unpacked(docs.columns))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,38 +39,49 @@ SHINGLE, MAX_BITS, SEED = 4, 4, 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 
 
+def shingle_hashes(piece: textbuf.Piece, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of all word shingles of a piece, row after row, and how many each row has."""
+    lower = np.frombuffer(piece.data.tobytes().lower(), np.uint8)  # of bytes: changes A-Z alone
+    piece.data = lower
+    starts, ends, first = textbuf.words(piece)
+    n = np.diff(first)
+    # Words one space apart, so that every shingle is one slice.
+    size = ends - starts
+    at = np.concatenate(([0], np.cumsum(size + 1)))
+    joined = np.full(at[-1], 32, np.uint8)
+    if len(starts):
+        joined[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = lower[
+            np.arange(size.sum()) + np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        ]
+    text = joined.tobytes()
+    many = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(n.dtype))  # shingles of each row
+    row = np.repeat(np.arange(len(n)), many)
+    w = first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    last = w + np.minimum(shingle, n[row]) - 1
+    hashes = np.fromiter(
+        (xxh64_intdigest(text[a:b], SEED) for a, b in zip(at[w].tolist(), (at[last + 1] - 1).tolist(), strict=True)),
+        np.uint64, len(w),
+    )
+    return hashes, many
+
+
+def prints_of(hashes: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The fingerprint of every row."""
+    prints = np.zeros(len(many), np.uint64)
+    has = np.flatnonzero(many)
+    if len(has):
+        begin = (np.cumsum(many) - many)[has]
+        for bit in range(64):
+            ones = np.add.reduceat((hashes >> np.uint64(bit)) & np.uint64(1), begin)
+            prints[has] |= (2 * ones > many[has].astype(np.uint64)).astype(np.uint64) << np.uint64(bit)
+    return prints
+
+
 def _fingerprints_of(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0)
         for piece in textbuf.pieces(batch.column(1)):
-            lower = np.frombuffer(piece.data.tobytes().lower(), np.uint8)  # of bytes: changes A-Z alone
-            piece.data = lower
-            starts, ends, first = textbuf.words(piece)
-            n = np.diff(first)
-            # Words one space apart, so that every shingle is one slice.
-            size = ends - starts
-            at = np.concatenate(([0], np.cumsum(size + 1)))
-            joined = np.full(at[-1], 32, np.uint8)
-            if len(starts):
-                joined[np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)] = lower[
-                    np.arange(size.sum()) + np.repeat(starts - np.concatenate(([0], np.cumsum(size)[:-1])), size)
-                ]
-            text = joined.tobytes()
-            many = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(n.dtype))  # shingles of each row
-            row = np.repeat(np.arange(len(n)), many)
-            w = first[:-1][row] + np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
-            last = w + np.minimum(shingle, n[row]) - 1
-            hashes = np.fromiter(
-                (xxh64_intdigest(text[a:b], SEED) for a, b in zip(at[w].tolist(), (at[last + 1] - 1).tolist(), strict=True)),
-                np.uint64, len(w),
-            )
-            prints = np.zeros(len(n), np.uint64)
-            has = np.flatnonzero(many)
-            if len(has):
-                begin = (np.cumsum(many) - many)[has]
-                for bit in range(64):
-                    ones = np.add.reduceat((hashes >> np.uint64(bit)) & np.uint64(1), begin)
-                    prints[has] |= (2 * ones > many[has].astype(np.uint64)).astype(np.uint64) << np.uint64(bit)
+            prints = prints_of(*shingle_hashes(piece, shingle))
             yield pa.RecordBatch.from_arrays(
                 [ids.slice(piece.first, len(piece)), pa.array(prints.view(np.int64))], names=["doc_id", "fp"]
             )
