@@ -1,13 +1,15 @@
 """Deletes later copies of repeated line runs: a suffix array over line-ID sequences (operator 8).
 
-Every document is a sequence of line ids. A run of lines counts if it has ``MIN_WORDS`` words or more; the
-shortest such run from a line is its window, and the content of a run fixes where its window ends. Prefix doubling names
-runs of 1, 2, 4 ... lines: the name of a run is the first place where it stands, (doc_id, row, line), so equal names
-mean equal runs and a name is the head of the interval of suffixes that share this prefix. A run of twice
-the length is named by the pair of names of its halves, a window by the two (overlapping) powers of two that cover it.
-Lines that stand once are dropped after the first naming, and runs as soon as they are unique, so that later
-rounds handle repeated text only. Every window whose name is an earlier place is a later copy; the union of such windows is
-the maximal repeated run, and its lines are deleted.
+Every document is a sequence of line ids. A run of lines counts if it has ``MIN_WORDS`` words or more. Its windows are
+the shortest such runs that start at a line and those that end at a line; the content of a window is all that
+decides whether it is one. Prefix doubling names runs of 1, 2, 4 ... lines: the name of a run is the first place where
+it stands, (doc_id, row, line), so equal names mean equal runs and a name is the head of the interval of suffixes that share
+this prefix. A run of twice the length is named by the pair of names of its halves, a window by the two (overlapping)
+powers of two that cover it. Lines that stand once are dropped after the first naming, and runs as soon as they are
+unique, so that later rounds handle repeated text only. Every window whose name is an earlier place is a later copy. A line
+of a repeated run has MIN_WORDS words from it to the end of the run, or from the start of the run to it, or else the
+window from the start of the run goes beyond it; so the union of both kinds of windows is the maximal repeated run, and
+its lines are deleted. No window has more than MIN_WORDS lines, as every line in it has a word.
 
 All naming is grouped minima with map-side combining and joins on names; no group of copies is gathered.
 
@@ -48,28 +50,36 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, copy, line) of every line to delete. documents: doc_id, copy, text."""
     order = Window.partitionBy("doc_id", "copy").orderBy("line")
     lines = lines_of(documents)
-    # How many lines the window from each line has, from the word counts of this line and the next ones.
+    # How many lines the windows from each line have, from the word counts of this line and the next ones: no shorter run
+    # from this line has enough words, or none to the same end.
     ahead = F.collect_list("n").over(order.rowsBetween(0, min_words - 1))
-    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"))
-    got = F.aggregate(ahead, start, lambda s, n: F.when(s["words"] >= min_words, s).otherwise(F.struct((s["words"] + n).alias("words"), (s["lines"] + 1).alias("lines"))))
-    short = F.when(got["words"] >= min_words, got["lines"])
-    lines = lines.select(*PLACE, "h1", "h2", short.alias("size"), F.row_number().over(order).alias("k"))
+    start = F.struct(F.lit(0).alias("words"), F.lit(0).alias("lines"), F.array().cast("array<int>").alias("sizes"))
+    got = F.aggregate(
+        F.col("ahead"), start,
+        lambda s, n: F.struct(
+            (s["words"] + n).alias("words"), (s["lines"] + 1).alias("lines"),
+            F.when((s["words"] + n >= min_words) & ((s["words"] < min_words) | (s["words"] + n - F.col("n") < min_words)), F.concat(s["sizes"], F.array(s["lines"] + 1))).otherwise(s["sizes"]).alias("sizes"),
+        ),
+    )
+    lines = lines.select(*PLACE, "h1", "h2", "n", ahead.alias("ahead"), F.row_number().over(order).alias("k"))
+    lines = lines.select(*PLACE, "h1", "h2", got["sizes"].alias("sizes"), "k")
     lines = written(lines, "lines")
-    named = written(_name(lines, ["h1", "h2"], "a").select(*PLACE, "k", "size", "a"), "names")
-    deleted = named.where("size = 1").where(F.col("a") != F.struct(*PLACE)).select(*PLACE)
+    named = written(_name(lines, ["h1", "h2"], "a").select(*PLACE, "k", "sizes", "a"), "names")
+    deleted = named.where(F.array_contains("sizes", 1)).where(F.col("a") != F.struct(*PLACE)).select(*PLACE)
     width = 1
     while width < min_words:
         # Windows of width + 1 ... 2 * width lines: a run of width lines here, and one that ends with the window.
         ends = named.select("doc_id", "copy", F.col("k").alias("k2"), F.col("a").alias("b"))
-        wide = named.where((F.col("size") > width) & (F.col("size") <= 2 * width)).withColumn("k2", F.col("k") + F.col("size") - width)
+        fitting = F.filter("sizes", lambda n: (n > width) & (n <= 2 * width))
+        wide = named.select(*PLACE, "k", "a", F.explode(fitting).alias("size")).withColumn("k2", F.col("k") + F.col("size") - width)
         both = _name(wide.join(ends, ["doc_id", "copy", "k2"]), ["size", "a", "b"], "c")
         last = both.where(F.col("c") != F.struct(*PLACE))
         span = last.select("doc_id", "copy", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("size") - 1)).alias("k"))
         deleted = deleted.unionByName(span.join(lines.select(*PLACE, "k"), ["doc_id", "copy", "k"]).select(*PLACE))
         if 2 * width < min_words:
             nexts = named.select("doc_id", "copy", (F.col("k") - width).alias("k"), F.col("a").alias("b"))
-            doubled = _name(named.drop("size").join(nexts, ["doc_id", "copy", "k"]), ["a", "b"], "c")
-            sizes = named.select(*PLACE, "size")
+            doubled = _name(named.drop("sizes").join(nexts, ["doc_id", "copy", "k"]), ["a", "b"], "c")
+            sizes = named.select(*PLACE, "sizes")
             named = written(doubled.select(*PLACE, "k", F.col("c").alias("a")).join(sizes, [*PLACE]), "names")
         width *= 2
     return deleted.distinct()
