@@ -1,4 +1,4 @@
-"""SimHash near-duplicate detection with sharded vantage-point trees (operator 7).
+"""SimHash near-duplicate detection with shards searched from two vantage points (operator 7).
 
 1. Fingerprints: 64 bits by majority over the XXH64 values of a text's word shingles. Texts of equal
    fingerprint become one point, by a grouped minimum.
@@ -6,10 +6,10 @@
    many parts, so they agree in at least BLOCKS - MAX_BITS; each point goes to one shard for every
    choice of that many parts, which is where a ball of radius MAX_BITS can overlap. This is a radius-zero
    boundary of the part-wise Hamming metric: whatever a query ball may reach lies in one of its shards.
-3. Trees: in a shard, points stand by their distance from a vantage point. By the triangle bound only
+3. Search: in a shard, points stand by their distance from a vantage point. By the triangle bound only
    points whose distance differs from the query's by MAX_BITS or less can be within MAX_BITS of it; inside
-   that band the search goes down to a second vantage point, then compares exactly. Points that are
-   linked leave the tree, so a dense group of copies costs one search for each point and gives a spanning tree of
+   that band a second vantage point bounds likewise, then points are compared exactly; there is no recursion. Points that are
+   linked leave the search, so a dense group of copies costs one search for each point and gives a spanning tree of
    its links, never all of its pairs.
 4. Components of the links, then the class of every text by a join on the fingerprint.
 
