@@ -61,3 +61,11 @@ def test_exact_links_connect_what_brute_force_connects():
             name = [name[x] if n == name[y] else n for n in name]
         assert all(name[x] == name[y] for x in range(40) for y in range(40) if jaccard(own[x], own[y]) >= 0.8)
         assert len(a) == 40 - len(set(name))
+
+
+def test_near_copies_among_rows_of_one_doc_id(spark):
+    words = [f"w{k}" for k in range(200)]
+    near, far = " ".join([*words[:-1], "other"]), " ".join(f"q{k}" for k in range(200))
+    rows = [(1, " ".join(words)), (2, near), (2, far), (3, f"{far} end")]
+    got = pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
