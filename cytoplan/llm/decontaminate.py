@@ -174,5 +174,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item is found in."""
-    bad = contamination(documents, benchmark).select("doc_id").distinct()
-    return documents.join(bad, "doc_id", "left_anti").select(documents.columns)
+    # By a hash of the text: null and repeated doc_ids need no key of their own.
+    key = F.xxhash64(documents.text)
+    bad = contamination(documents.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("found")).distinct()
+    return documents.join(bad, key == bad.found, "left_anti").select([documents[c] for c in documents.columns])

@@ -13,7 +13,8 @@ its lines are deleted. No window has more than MIN_WORDS lines, as every line in
 
 All naming is grouped minima with map-side combining and joins on names; no group of copies is gathered.
 
-Defined cases: lines without words are never deleted and count no words; null texts stay null; repeated rows of a
+Defined cases: lines without words are never deleted and count no words; null texts stay null; rows of a null doc_id stand before
+those of doc_id 0; repeated rows of a
 doc_id are told apart by a hash of their text and row; ties cannot arise, as places are distinct; an empty table gives an
 empty result; all columns of the input are kept, whatever their names.
 """
@@ -88,10 +89,13 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def dedup(documents: DataFrame, *carry: str, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, copy, the columns to carry, text without later copies of line runs, and n_removed, the count of deleted lines."""
     docs = with_copy_numbers(documents, *carry)
-    gone = later_copies(docs, min_words).groupBy("doc_id", "copy").agg(F.collect_set("line").alias("gone"))
+    # Joins match no nulls: a null doc_id goes as 0, with copy numbers that no other row has.
+    doc_id = F.coalesce(docs.doc_id, F.lit(0).cast(docs.schema["doc_id"].dataType))
+    copy = F.when(docs.doc_id.isNull(), docs.copy - F.lit(2**31)).otherwise(docs.copy).cast("int")
+    gone = later_copies(docs.select(doc_id.alias("doc_id"), copy.alias("copy"), "text"), min_words).groupBy("doc_id", "copy").agg(F.collect_set("line").alias("gone"))
     numbered = F.transform(F.split("text", "\n", -1), lambda t, i: F.struct(i.alias("i"), t.alias("t")))
     left = F.filter(numbered, lambda x: ~F.array_contains("gone", x["i"]))["t"]
-    both = docs.join(gone, [docs.doc_id.eqNullSafe(gone.doc_id), docs.copy.eqNullSafe(gone.copy)], "left")
+    both = docs.join(gone, [doc_id == gone.doc_id, copy == gone.copy], "left")
     return both.select(
         docs.doc_id, docs.copy, *(docs[c] for c in carry),
         F.when(F.col("gone").isNull(), docs.text).otherwise(F.array_join(left, "\n")).alias("text"),
