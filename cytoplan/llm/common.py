@@ -26,18 +26,16 @@ def words_of(text: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one that driver and executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests, one machine)
-    a folder of this machine serves instead.
+    The cluster names it in spark.checkpoint.dir; where that is unset, a session of this machine alone (tests) gets a folder of
+    its own, and any other is refused.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            root = current
-        else:
-            import tempfile
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
 
-            root = tempfile.mkdtemp(prefix="cytoplan-")
+        root = tempfile.mkdtemp(prefix="cytoplan-")
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -49,6 +47,21 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys that join_with_hot_keys broadcasts at most, and the rows that make a key one of them.
+HOT_KEYS, HOT_ROWS = 1000, 1000
+
+
+def join_with_hot_keys(rows: DataFrame, names: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of rows with names (distinct keys, and how many rows have them) in which no hot key is dealt to one task.
+
+    The HOT_KEYS keys of most rows are joined by a broadcast, the others by their keys.
+    """
+    hot = names.where(F.col(count) > HOT_ROWS).orderBy(F.desc(count), *keys).limit(HOT_KEYS)
+    some = rows.join(F.broadcast(hot), keys)
+    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(names, keys)
+    return some.unionByName(others)
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """doc_id, text and row: all columns as one, so that their names clash with nothing."""
     every = F.struct(*(documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)))
