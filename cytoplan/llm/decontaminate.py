@@ -86,10 +86,10 @@ class Block:
                     self.items.append(h[first[r] : first[r + 1]])
         pieces: dict[int, list[tuple[int, int, int]]] = {}
         for k, h in enumerate(self.items):
-            prefix = textbuf.prefix_hash(h)
+            runs = textbuf.Runs(h)
             cuts = np.linspace(0, len(h), errors(len(h)) + 2).astype(int)
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                span = textbuf.spans(prefix, np.array([a]), np.array([b]))[0]
+                span = runs.of(np.array([a]), np.array([b]))[0]
                 pieces.setdefault(int(b - a), []).append((int(span), k, int(a)))
         self.pieces = {}
         for size, found in pieces.items():
@@ -98,13 +98,13 @@ class Block:
 
     def matches(self, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(row, item, distance, end) for the best passage of every item within its budget in each row."""
-        prefix = textbuf.prefix_hash(h)
+        runs = textbuf.Runs(h)
         hits = []
         row_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
         for size, (keys, item, offset) in self.pieces.items():
             at = np.arange(max(0, len(h) - size + 1))
             at = at[row_of[at] == row_of[at + size - 1]]
-            span = textbuf.spans(prefix, at, at + size)
+            span = runs.of(at, at + size)
             low, high = np.searchsorted(keys, span, "left"), np.searchsorted(keys, span, "right")
             some = np.flatnonzero(high > low)
             n = (high - low)[some]

@@ -22,7 +22,7 @@ PATTERN = (
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: A worker's store of pretokens starts anew beyond this; its memory is bounded, results do not change.
-MOST_WORDS = 1_000_000
+MOST_WORDS, MOST_BYTES = 1_000_000, 1 << 25
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -144,25 +144,23 @@ def _starts(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
-_VALUES = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-
-
 class _Store:
-    """Pretokens by 64-bit hash, checked by their length and first bytes, with the place of each."""
+    """Short pretokens (their two numbers and length) with the place of each, found by hash and compared exactly."""
 
     def __init__(self):
-        self.hash, self.check, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.own = np.zeros((3, 0), np.uint64)
 
-    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    def find(self, h: np.ndarray, own: np.ndarray) -> np.ndarray:
         if not len(self.hash):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where((self.hash[at] == h) & (self.check[at] == check), self.place[at], -1)
+        return np.where((self.hash[at] == h) & (self.own[:, at] == own).all(0), self.place[at], -1)
 
-    def add(self, h: np.ndarray, check: np.ndarray, place: np.ndarray) -> None:
-        h, check, place = np.concatenate((self.hash, h)), np.concatenate((self.check, check)), np.concatenate((self.place, place))
+    def add(self, h: np.ndarray, own: np.ndarray, place: np.ndarray) -> None:
+        h, own, place = np.concatenate((self.hash, h)), np.concatenate((self.own, own), 1), np.concatenate((self.place, place))
         order = np.argsort(h, kind="stable")
-        self.hash, self.check, self.place = h[order], check[order], place[order]
+        self.hash, self.own, self.place = h[order], own[:, order], place[order]
 
 
 class Encoder:
@@ -175,6 +173,8 @@ class Encoder:
 
     def clear(self) -> None:
         self.old, self.recent = _Store(), _Store()
+        self.longer: dict[bytes, int] = {}
+        self.longer_bytes = 0
         self.ids, self.starts = [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
 
     def _specials(self, data: bytes) -> list[tuple[int, int, int]]:
@@ -184,12 +184,46 @@ class Encoder:
             found.append((m.start(), m.end(), self.special[m[0]]))
         return found
 
+    def _places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The place of every pretoken among those that the store holds; new ones are encoded."""
+        raw, word = data.tobytes(), np.empty(len(start), np.int64)
+        own = np.stack((*textbuf.packed(data, start, end), (end - start).astype(np.uint64)))
+        h = textbuf.joined(textbuf.joined(own[0], own[1]), own[2])
+        short = end - start <= textbuf.SHORT
+        at = np.flatnonzero(short)
+        distinct, one, of = np.unique(h[at], return_index=True, return_inverse=True)
+        first = own[:, at[one]]
+        unlike = (first[:, of] != own[:, at]).any(0)  # equal hashes of unequal bytes
+        short[at[unlike]] = False
+        place = self.old.find(distinct, first)
+        place = np.where(place < 0, self.recent.find(distinct, first), place)
+        new = np.flatnonzero(place < 0)
+        fresh = [raw[x:y] for x, y in zip(start[at[one[new]]].tolist(), end[at[one[new]]].tolist(), strict=True)]
+        place[new] = known = len(self.starts) - 1 + np.arange(len(new))
+        word[at] = place[of]
+        for i in np.flatnonzero(~short).tolist():
+            token = raw[start[i] : end[i]]
+            if (got := self.longer.get(token)) is None:
+                got = self.longer[token] = len(self.starts) - 1 + len(fresh)
+                self.longer_bytes += len(token)
+                fresh.append(token)
+            word[i] = got
+        if fresh:
+            ids, counts = self.encode_words(fresh)
+            self.ids = [np.concatenate((*self.ids, ids.astype(np.uint32)))]
+            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
+            self.recent.add(distinct[new], first[:, new], known)
+            if 8 * len(self.recent.hash) > len(self.old.hash):
+                self.old.add(self.recent.hash, self.recent.own, self.recent.place)
+                self.recent = _Store()
+        return word
+
     def encode(self, piece: textbuf.Piece) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, joined (uint32), and where each text's ids start, with the end."""
         data, n = piece.data, len(piece.data)
         if not n:
             return np.zeros(0, np.uint32), np.zeros(len(piece) + 1, np.int64)
-        if len(self.starts) > MOST_WORDS:
+        if len(self.starts) > MOST_WORDS or self.longer_bytes > MOST_BYTES:
             self.clear()
         special = self._specials(data.tobytes()) if self.special else []
         cuts = np.unique(np.concatenate((piece.bounds, np.array([x for s in special for x in s[:2]], np.int64))))
@@ -201,27 +235,7 @@ class Encoder:
                 inside[high] -= 1
             start = start[np.cumsum(inside)[start] == 0]
         end = np.append(start[1:], n)
-        h = textbuf.spans(textbuf.prefix_hash(_VALUES[data]), start, end)
-        distinct, one, of = np.unique(h, return_index=True, return_inverse=True)
-        low, high = start[one], end[one]
-        check = (high - low).astype(np.uint64)
-        for k in range(7):
-            check = check << np.uint64(8) | np.where(low + k < high, data[np.minimum(low + k, n - 1)], 0).astype(np.uint64)
-        place = self.old.find(distinct, check)
-        place = np.where(place < 0, self.recent.find(distinct, check), place)
-        new = np.flatnonzero(place < 0)
-        if len(new):
-            raw = data.tobytes()
-            ids, counts = self.encode_words([raw[x:y] for x, y in zip(low[new].tolist(), high[new].tolist(), strict=True)])
-            place[new] = len(self.starts) - 1 + np.arange(len(new))
-            self.ids.append(ids.astype(np.uint32))
-            self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(counts)))
-            self.recent.add(distinct[new], check[new], place[new])
-            if 8 * len(self.recent.hash) > len(self.old.hash):
-                self.old.add(self.recent.hash, self.recent.check, self.recent.place)
-                self.recent = _Store()
-            self.ids = [np.concatenate(self.ids)]
-        word = place[of]
+        word = self._places(data, start, end)
         size = self.starts[word + 1] - self.starts[word]
         where = np.searchsorted(start, np.array([s[0] for s in special], np.int64))
         size[where] = 1

@@ -7,18 +7,22 @@ earlier in the same document). Equal windows are brought together without compar
    mostly share it. Such a run of windows is a snippet. Equal windows have equal anchors, so the
    snippets of one anchor are all that have to be compared. A task sends on the earliest of equal snippets and
    decides the later ones itself, so copies are combined before the shuffle.
-2. Equal snippets. Snippets are dealt by anchor and sorted; all but the earliest of equal ones are later copies as a whole.
+2. Equal snippets. Snippets are dealt by anchor and content; all but the earliest of equal ones are later copies as a whole.
 3. Reference shards. Where an anchor has different snippets, these overlap in part. Their words are fetched, and
    each anchor's snippets are streamed, earliest first, through the suffix automaton of those before: wherever
    the matching statistic reaches WINDOW the window stands earlier. A snippet that brings new windows
    extends the automaton.
-4. The spans of all later copies of a document are joined to its text and their words removed.
+4. Anchors of more than HOT snippets would make one task's automaton too large. Their snippets are cut into windows, which spread over
+   all tasks by their hashes (128 bits): the earliest of equal windows is a grouped minimum.
+5. The spans of all later copies of a document are joined to its text and their words removed.
 
-An automaton of the whole corpus would have to be broadcast and grows with it; a shard's automaton holds the
-different snippets of some anchors only, and every document is streamed past only the shards that it has anchors in.
+An automaton of the whole corpus would have to be broadcast and grows with it (README); a shard's automaton holds at most HOT
+snippets of one anchor, and every document is streamed past only the shards that it has anchors in.
+
+Words are known by 64-bit hashes, the long ones by XXH64; runs of words by hashes of their halves, never by sums over the run.
 
 Defined cases: null texts have no words; repeated rows of a doc_id count as documents in the order of their texts; a null
-doc_id comes first; texts of fewer than WINDOW words stay whole; an empty table gives an empty result; columns other than
+doc_id comes first; texts of fewer than WINDOW words stay whole; very long texts are read whole, as a piece of their own; an empty table gives an empty result; columns other than
 doc_id and text are not looked at.
 """
 
@@ -32,9 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplan.llm import textbuf
-from cytoplan.llm.common import with_copy_numbers, written
+from cytoplan.llm.common import join_with_hot_keys, with_copy_numbers, written
 
 WINDOW, ANCHOR = 20, 8
+#: Different snippets of an anchor that one automaton takes.
+HOT = 2000
 NO_ID = -(1 << 63)  # stands for a null doc_id
 _TYPES = {"long": pa.int64(), "int": pa.int32()}
 
@@ -45,6 +51,8 @@ def _schema(text: str) -> list[tuple[str, str]]:
 
 SNIPPETS = "kind int, a long, s long, id long, copy int, low long, n int"
 FOUND = "kind int, a long, id long, copy int, low long, n int"
+FETCHED = "a long, id long, copy int, low long, words binary, w1 long, w2 long"
+FETCHED_NAMES = [x.split()[0] for x in FETCHED.split(", ")]
 
 
 def _batch(schema: str, *columns) -> pa.RecordBatch:
@@ -58,12 +66,12 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def snippets_of(h: np.ndarray, first: np.ndarray, window: int, anchor: int):
     """row, low, n, a and s of the snippets: n windows from word low on (of all words) with anchor a; s: hash of the words."""
-    prefix = textbuf.prefix_hash(h)
+    runs = textbuf.Runs(h)
     row = np.repeat(np.arange(len(first) - 1), np.diff(first))
     starts = np.arange(max(0, len(h) - window + 1))
     if not len(starts):
         return (np.zeros(0, np.int64),) * 5
-    spans = textbuf.spans(prefix, np.arange(len(h) - anchor + 1), np.arange(anchor, len(h) + 1))
+    spans = runs.of(np.arange(len(h) - anchor + 1), np.arange(anchor, len(h) + 1))
     at = starts + np.lib.stride_tricks.sliding_window_view(spans, window - anchor + 1)[: len(starts)].argmin(1)
     fits = row[starts] == row[starts + window - 1]
     starts, at = starts[fits], at[fits]
@@ -72,7 +80,7 @@ def snippets_of(h: np.ndarray, first: np.ndarray, window: int, anchor: int):
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1) | (row[starts[1:]] != row[starts[:-1]])))
     begin = np.flatnonzero(new)
     low, n = starts[begin], np.diff(np.concatenate((begin, [len(starts)])))
-    return row[low], low, n, _signed(spans[at[begin]]), _signed(textbuf.spans(prefix, low, low + n + window - 1))
+    return row[low], low, n, _signed(spans[at[begin]]), _signed(runs.of(low, low + n + window - 1))
 
 
 def _snippets(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
@@ -90,40 +98,18 @@ def _snippets(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> It
             yield _batch(SNIPPETS, later, a, s, ids, copies, low, n.astype(np.int32))
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by a, s and place. kind 1 in: known later copies; kind 0 out: later copies, 1: to be compared."""
-    rest: pa.RecordBatch | None = None
-
-    def settle(rows: pa.Table) -> pa.RecordBatch:
-        kind, a, s, ids, copies, low, n = (rows[c].to_numpy() for c in rows.column_names)
-        known = kind == 1
-        out = [x[known] for x in (a, ids, copies, low, n)]
-        a, s, ids, copies, low, n = (x[~known] for x in (a, s, ids, copies, low, n))
-        if not len(a):
-            return _batch(FOUND, np.zeros(len(out[0]), np.int32), *out)
-        new_a = np.concatenate(([True], a[1:] != a[:-1]))
-        new = new_a.copy()
-        new[1:] |= s[1:] != s[:-1]
-        group = np.cumsum(new_a) - 1
-        several = np.bincount(group, new)[group] > 1
-        ask = new & several
-        cols = [np.concatenate((k, x[~new], x[ask])) for k, x in zip(out, (a, ids, copies, low, n), strict=True)]
-        what = np.zeros(len(cols[0]), np.int32)
-        what[len(what) - int(ask.sum()) :] = 1
-        return _batch(FOUND, what, *cols)
-
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by a, s and place. kind 1 in: known later copies; kind 0 out: later copies, 1: the first of equal snippets."""
+    last = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch] if rest is None else [rest, batch])
-        if not len(rows):
+        if not len(batch):
             continue
-        a = rows["a"].to_numpy()
-        cut = int(np.flatnonzero(a[1:] != a[:-1])[-1]) + 1 if (a[1:] != a[:-1]).any() else 0
-        if cut:
-            yield settle(rows.slice(0, cut))
-        left = rows.slice(cut).combine_chunks().to_batches()
-        rest = left[0] if left else None
-    if rest is not None and len(rest):
-        yield settle(pa.Table.from_batches([rest]))
+        kind, a, s, ids, copies, low, n = (c.to_numpy() for c in batch.columns)
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
+        new[0] = last != (a[0], s[0])
+        last = (a[-1], s[-1])
+        yield _batch(FOUND, (new & (kind == 0)).astype(np.int32), a, ids, copies, low, n)
 
 
 class Automaton:
@@ -176,7 +162,7 @@ class Automaton:
 
 
 def _fetched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """id, copy, text, asks (a, low, n) -> the words of each snippet, as hashes."""
+    """id, copy, text, asks (a, low, n, hot) -> the words of each snippet, as hashes, or its windows, if it is hot."""
     for batch in batches:
         asks = batch.column(3)
         for piece in textbuf.pieces(batch.column(2)):
@@ -184,12 +170,20 @@ def _fetched(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             h = textbuf.word_hashes(piece, starts, ends)
             part = asks.slice(piece.first, len(piece))
             flat = part.flatten()
-            a, low, n = (flat.field(k).to_numpy() for k in range(3))
+            a, low, n, hot = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             row = np.repeat(np.arange(len(piece)), np.diff(part.offsets.to_numpy()))
-            begin = first[:-1][row] + low
-            words = [h[x:y].tobytes() for x, y in zip(begin.tolist(), (begin + n + window - 1).tolist(), strict=True)]
-            ids, copies = (batch.column(k).slice(piece.first, len(piece)).to_numpy()[row] for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(ids), pa.array(copies, pa.int32()), pa.array(low), pa.array(words, pa.binary())], names=["a", "id", "copy", "low", "words"])
+            ids, copies = (batch.column(k).slice(piece.first, len(piece)).to_numpy() for k in (0, 1))
+            cold = np.flatnonzero(~hot)
+            begin = first[:-1][row[cold]] + low[cold]
+            words = [h[x:y].tobytes() for x, y in zip(begin.tolist(), (begin + n[cold] + window - 1).tolist(), strict=True)]
+            none = pa.nulls(len(cold), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(a[cold]), pa.array(ids[row[cold]]), pa.array(copies[row[cold]], pa.int32()), pa.array(low[cold]), pa.array(words, pa.binary()), none, none], names=FETCHED_NAMES)
+            if hot.any():
+                which = np.repeat(np.flatnonzero(hot), n[hot])
+                at = low[which] + np.arange(len(which)) - np.repeat(np.cumsum(n[hot]) - n[hot], n[hot])
+                begin = first[:-1][row[which]] + at
+                one, two = textbuf.Runs(h).of(begin, begin + window), textbuf.Runs(textbuf.mix(~h)).of(begin, begin + window)
+                yield pa.RecordBatch.from_arrays([pa.array(a[which]), pa.array(ids[row[which]]), pa.array(copies[row[which]], pa.int32()), pa.array(at), pa.nulls(len(which), pa.binary()), pa.array(_signed(one)), pa.array(_signed(two))], names=FETCHED_NAMES)
 
 
 def _streamed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -242,7 +236,7 @@ def _removed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             )
 
 
-def dedup(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def dedup(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by one space) of every row."""
     docs = with_copy_numbers(documents).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("copy").cast("int"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")
@@ -250,14 +244,21 @@ def dedup(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> D
     snippets = docs.select("id", "copy", "text").mapInArrow(lambda b: _snippets(b, window, anchor), SNIPPETS)
     # Rows decided already may go to any task.
     key = F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("id", "low"))
-    dealt = snippets.withColumn("a", key).repartition("a").sortWithinPartitions("a", "s", "id", "copy", "low")
-    found = written(dealt.mapInArrow(_compared, FOUND), "found")
-    asks = found.where("kind = 1").groupBy("id", "copy").agg(F.collect_list(F.struct("a", "low", "n")).alias("asks"))
+    dealt = snippets.withColumn("a", key).repartition("a", "s").sortWithinPartitions("a", "s", "id", "copy", "low")
+    found = written(dealt.mapInArrow(_firsts, FOUND), "found")
+    firsts = found.where("kind = 1").select("a", "id", "copy", "low", "n")
+    several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("a", (F.col("many") > hot).alias("hot"))
+    asks = firsts.join(several, "a").groupBy("id", "copy").agg(F.collect_list(F.struct("a", "low", "n", "hot")).alias("asks"))
     with_text = docs.join(asks, ["id", "copy"]).select("id", "copy", "text", "asks")
-    words = with_text.mapInArrow(lambda b: _fetched(b, window), "a long, id long, copy int, low long, words binary")
-    shards = words.repartition("a").sortWithinPartitions("a", "id", "copy", "low")
-    more = written(shards.mapInArrow(lambda b: _streamed(b, window), FOUND), "matched")
-    spans = found.where("kind = 0").unionByName(more).groupBy("id", "copy").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
+    words = written(with_text.mapInArrow(lambda b: _fetched(b, window), FETCHED), "words")
+    shards = words.where("words is not null").select("a", "id", "copy", "low", "words").repartition("a").sortWithinPartitions("a", "id", "copy", "low")
+    more = shards.mapInArrow(lambda b: _streamed(b, window), FOUND)
+    windows = words.where("words is null").select("w1", "w2", "id", "copy", "low")
+    place = F.struct("id", "copy", "low")
+    earliest = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    again = join_with_hot_keys(windows, earliest, ["w1", "w2"], "rows").where(F.col("first") != place).select("id", "copy", "low", F.lit(1).alias("n"))
+    later = found.where("kind = 0").select("id", "copy", "low", "n").unionByName(written(more.select("id", "copy", "low", "n").unionByName(again), "matched"))
+    spans = later.groupBy("id", "copy").agg(F.collect_list(F.struct("low", "n")).alias("spans"))
     rows = docs.join(spans, ["id", "copy"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<low:bigint,n:int>>")).alias("spans"))
     return rows.mapInArrow(lambda b: _removed(b, window), "doc_id long, n_words long, n_removed long, kept string")
 

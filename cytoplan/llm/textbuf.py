@@ -10,14 +10,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh64_intdigest
 
 PIECE_BYTES = 1 << 20
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_BYTE[_SEPARATOR] = 0
 
 
 class Piece:
@@ -73,33 +71,59 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_ONE, _TWO, _THREE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F))
+#: Spans of up to this many bytes are two numbers; longer ones are hashed by XXH64.
+SHORT = 16
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base ** i and base ** -i modulo 2**64 for i < n."""
-    size = 1 << max(21, int(n).bit_length())
-    if size not in _powers:
-        if n > 1 << 21:
-            _powers.pop(max(_powers, default=0), None)
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+def eights(data: np.ndarray) -> np.ndarray:
+    """For every place in data, and one past, the next eight bytes as a number; zeros follow the end."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))
 
 
-def prefix_hash(values: np.ndarray) -> np.ndarray:
-    """p with p[i] = sum of values[:i] * base ** index."""
-    out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values))[0][: len(values)], out=out[1:])
-    return out
-
-
-def spans(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans; equal spans have equal hashes wherever they stand."""
-    h = (prefix[ends] - prefix[starts]) * powers(len(prefix))[1][starts]
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the second eight bytes of each span; with the length they are the span, if it has SHORT bytes or fewer."""
+    view, size = eights(data), ends - starts
+    return view[starts] & _MASK[np.minimum(size, 8)], view[np.minimum(starts + 8, len(data))] & _MASK[np.clip(size - 8, 0, 8)]
 
 
 def word_hashes(piece: Piece, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return spans(prefix_hash(_BYTE[piece.data]), starts, ends)
+    """64-bit hashes of the words: of their two numbers and length, or XXH64 of longer ones."""
+    low, high = packed(piece.data, starts, ends)
+    h = joined(joined(low, high), (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts > SHORT)
+    if len(long):
+        raw = piece.data.tobytes()
+        h[long] = [xxh64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return h
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of two values in their order."""
+    return mix(mix(a + _ONE) ^ (b * _TWO + _THREE))
+
+
+class Runs:
+    """Hashes of runs of consecutive values, equal for equal runs wherever they stand.
+
+    Runs of 1, 2, 4 ... values are hashed from their halves, and any other run from the two of these, overlapping, that cover it.
+    No hash is a sum over the run, so patterned runs do not cancel out.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        out = np.zeros(len(starts), np.uint64)
+        for k in range(int(size.max(initial=0)).bit_length()):
+            if k == len(self.levels):
+                last = self.levels[-1]
+                half = 1 << (k - 1)
+                self.levels.append(joined(last[:-half], last[half:]))
+            now = np.flatnonzero((size >= 1 << k) & (size < 2 << k))
+            if len(now):
+                level, n = self.levels[k], size[now].astype(np.uint64)
+                out[now] = joined(level[starts[now]], level[ends[now] - (1 << k)]) ^ mix(n)
+        return out
