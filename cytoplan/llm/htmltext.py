@@ -1,13 +1,20 @@
 """Main text of web pages by two passes over blocks (operator 4).
 
-A page is cut into blocks at block-level tags. The first pass decides a block by its place (menus, footers, forms,
-adverts, comments and the like are out; an article or main element is in favour), its link density, its length and
-its density of stop words. Short blocks without evidence stay undecided; in the second pass each takes the label
-of its nearest decided neighbours, and is kept if both sides, or the only side, are kept; headings look at the block
-that follows. Each page is handled by itself.
-
-Defined cases: a null or empty page has the text ""; tags that are never closed end with their parent or the page; repeated
-rows give a result each; an empty table gives an empty result; columns other than page_id, url and html are not looked at.
+A page is cut into blocks at block-level tags by one scan, linear in its length. Forms, scripts, styles and other elements that
+show no running text are no blocks.
+
+Pass one grades each block by its density of stop words, its length and its link density: good, bad, or undecided (short, or between
+the bounds). Tags and attributes are evidence beside that. Menus, headers, footers, sidebars, adverts, notices and comments, by element or by a
+whole token of class, id or role, make a block bad; if that leaves no good block on a page, this evidence is taken back. An article or main element
+with text keeps blocks in it from being bad for few stop words, and blocks beside it from being good.
+
+Pass two: an undecided block takes the label of its nearest decided neighbours: those of its article or main element, if it is in one, else
+of the page. In an article one good neighbour, or none decided, is enough; elsewhere both have to be good; a heading looks
+at the block that follows. Each page is handled by itself.
+
+Defined cases: a null or empty page has the text ""; tags that are never closed end with their parent or the page; an end tag
+without a start is passed over, a quote without an end ends with its tag, a comment without an end hides the rest; very long pages are read whole, in time in proportion to
+their length; repeated rows give a result each; an empty table gives an empty result; columns other than page_id, url and html are not looked at.
 """
 
 from __future__ import annotations
@@ -37,22 +44,28 @@ STOP_WORDS = frozenset(
 )
 # Element names of HTML.
 HIDDEN = frozenset("script style template noscript svg math canvas iframe object head title select option textarea button input label form dialog audio video map".split())
-OUTSIDE = frozenset("nav footer aside menu header figcaption".split())
-BLOCKS = frozenset(
-    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header "
+OUTSIDE = frozenset("nav footer aside menu header".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = HEADINGS | frozenset(
+    "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset head header "
     "hgroup hr html legend li link main menu meta nav noframes noscript ol optgroup option p pre search section summary table tbody td textarea tfoot th thead title tr ul "
     "script style template select button".split()
 )
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed".split())
-#: Words in class, id and role attributes that mark what is not the article.
+#: Elements that end an open element of the same kind.
+ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ()}
+#: A token of class, id or role marks what is not the article if all its parts are among these, one of MARKS at least.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs comment comments consent cookie cookies disqus feedback footer "
-    "hidden login menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies "
-    "respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget widgets complementary contentinfo masthead gdpr overlay".split()
+    "gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related "
+    "reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget widgets complementary contentinfo".split()
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+BESIDE = frozenset("area bar block bottom box button buttons col column container content divider form global group header holder inner item items left links list main outer page post posts primary row right secondary section site slot top unit wrap wrapper".split())
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_SIGN = re.compile(r"[>\"']")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -60,140 +73,237 @@ _WORD = re.compile(r"[^\W\d_]+")
 @dataclass
 class Block:
     text: str
-    linked: int  # code points inside links
-    heading: bool
-    out: bool  # its place is outside of the article
-    inside: bool  # in an article or main element
+    linked: int = 0  # code points inside links
+    heading: bool = False
+    marked: bool = False  # in an element whose name or attributes speak against it
+    region: int = 0  # the article or main element that it is in, from 1 on
+
+
+class Tags:
+    """A scan for tags: (text before, name, is an end tag, attributes, place after) until the page ends."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.without: set[str] = set()  # signs that do not stand further on
+
+    def _find(self, sign: str, at: int) -> int:
+        if sign in self.without:
+            return -1
+        if (found := self.page.find(sign, at)) < 0:
+            self.without.add(sign)
+        return found
+
+    def end_of(self, at: int) -> int:
+        """The > that ends the tag whose attributes start here; -1 without one."""
+        while (m := _SIGN.search(self.page, at)) if ">" not in self.without else None:
+            if m[0] == ">":
+                return m.start()
+            # A quote opens a value only behind an equals sign.
+            close = self._find(m[0], m.end()) if self.page[max(0, m.start() - 80) : m.start()].rstrip().endswith("=") else -1
+            at = m.end() if close < 0 else close + 1
+        self.without.add(">")
+        return -1
 
+    def __iter__(self) -> Iterator[tuple[str, str, bool, str, int]]:
+        page, at, text = self.page, 0, 0
+        while (at := self._find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                close = self._find("-->", at + 4)
+                before, text = page[text:at], len(page) if close < 0 else close + 3
+                at = text
+                yield before, "", False, "", at
+                continue
+            if page[at + 1 : at + 2] in ("!", "?"):
+                close = self._find(">", at)
+                before, text = page[text:at], len(page) if close < 0 else close + 1
+                at = text
+                yield before, "", False, "", at
+                continue
+            is_end = page[at + 1 : at + 2] == "/"
+            name = _NAME.match(page, at + 1 + is_end)
+            close = self.end_of(name.end()) if name else -1
+            if close < 0:
+                at += 1  # a sign in the text
+                if ">" in self.without:  # no tag ends any more: only what hides the rest of the page is looked for
+                    at = min((k for k in (page.find("<!", at), page.find("<?", at)) if k >= 0), default=len(page))
+                continue
+            before, text = page[text:at], close + 1
+            at = text
+            lower = name[0].lower()
+            attributes = page[name.end() : close]
+            if lower in RAW and not is_end and not attributes.rstrip().endswith("/"):
+                raw = re.compile(rf"</{re.escape(lower)}\s*>", re.I).search(page, at) if f"</{lower}" not in self.without else None
+                if raw is None:
+                    self.without.add(f"</{lower}")
+                text = at = raw.end() if raw else len(page)  # its content is no text of the page
+                yield before, lower, False, "/", at
+                continue
+            yield before, lower, is_end, attributes, at
+        yield page[text:], "", False, "", len(page)
 
-def _is_outside(name: str, attributes: str) -> bool:
-    if name in HIDDEN or name in OUTSIDE:
-        return True
-    if not attributes or name in ("body", "html", "article", "main"):
-        return False
+
+def _is_mark(token: str) -> bool:
+    parts = _PART.findall(token)
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in BESIDE or p.isdigit() for p in parts)
+
+
+def _speaks_against(name: str, attributes: str) -> tuple[bool, bool]:
+    """(shows nothing, is marked)."""
+    if name in ("body", "html", "article", "main"):
+        return False, False
+    hidden, marked = name in HIDDEN, name in OUTSIDE
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-        if key in ("class", "id", "role") and MARKS.intersection(re.split(r"[^a-z]+", value)):
-            return True
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+        marked = marked or key in ("class", "id", "role") and any(map(_is_mark, value.split()))
+        hidden = hidden or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value) is not None
+    return hidden, marked
+
+
+@dataclass
+class _Open:
+    name: str
+    hidden: bool
+    marked: bool
+    region: int
 
 
 def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, outside, inside
+    root = _Open("", False, False, 0)
+    stack, block_places = [root], [0]  # open elements; places of those of them that are blocks
+    scopes: list[dict[str, int]] = [{}]  # how many of each name are open in each article, main or body
     parts: list[str] = []
-    linked = links = 0
-    heading, at, n = False, 0, len(page)
+    linked = links = regions = 0
+    heading = False
 
     def end() -> None:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            found.append(Block(text, linked, heading, any(x[1] for x in stack), any(x[2] for x in stack)))
+            found.append(Block(text, linked, heading, stack[-1].marked, stack[-1].region))
         parts.clear()
         linked = 0
 
-    def add(raw: str) -> None:
-        nonlocal linked
-        if raw:
-            text = entities.unescape(raw)
+    def pop() -> None:
+        nonlocal links
+        x = stack.pop()
+        if x.name in ("article", "main", "body"):
+            scopes.pop()
+        scopes[-1][x.name] -= 1
+        links -= x.name == "a"
+        if block_places[-1] == len(stack):
+            block_places.pop()
+
+    def innermost() -> str:
+        return stack[block_places[-1]].name
+
+    for before, name, is_end, attributes, _ in Tags(page):
+        if before and not stack[-1].hidden:
+            text = entities.unescape(before)
             parts.append(text)
             if links:
                 linked += len(text.strip())
-
-    def pop(k: int) -> None:
-        nonlocal links
-        for x in stack[k:]:
-            links -= x[0] == "a"
-        del stack[k:]
-
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if m[1] is not None:
-            add(m[1])
-        if not m[3]:
+        if not name:
             continue
-        name = m[3].lower()
         if name in BLOCKS:
             end()
-            heading = not m[2] and name in ("h1", "h2", "h3", "h4", "h5", "h6")
+            heading = not is_end and name in HEADINGS
         elif name == "br":
             parts.append(" ")
-        if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if stack[k][0] in ("article", "main", "body") and name not in ("body", "html"):
-                    break  # a stray end tag closes nothing beyond these
-            continue
-        if name in VOID:
+        if name in VOID or name in RAW and attributes == "/":
             continue
-        if name in RAW and not m[4].rstrip().endswith("/"):
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n  # its content is no text of the page
+        if is_end:
+            if scopes[-1].get(name):
+                while stack[-1].name != name:
+                    pop()
+                pop()
+            elif len(scopes) > 1 and scopes[-2].get(name) and name in ("article", "main", "body", "html"):
+                while stack[-1].name != name:
+                    pop()
+                pop()
             continue
-        if name == "p" or name == "li":
-            if stack and stack[-1][0] == name:
-                pop(len(stack) - 1)
-            for k in range(len(stack) - 1, -1, -1):  # a paragraph ends where the next begins
-                if stack[k][0] == name == "p":
-                    pop(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
-        title_bar = name == "header" and any(x[2] for x in stack)
-        out = _is_outside(name, m[4]) and not title_bar
-        stack.append((name, out, name in ("article", "main") or 'role="main"' in m[4].lower()))
+        if name in BLOCKS:
+            while innermost() == "p" or innermost() in ALIKE.get(name, ()):  # such elements end where the next begins
+                k = block_places[-1]
+                while len(stack) > k:
+                    pop()
+        top = stack[-1]
+        hidden, marked = _speaks_against(name, attributes)
+        is_region = name in ("article", "main") or 'role="main"' in attributes.lower()
+        if name == "header" and top.region:
+            marked = False  # the title of an article
+        if is_region and not top.region:
+            regions += 1
+        region = top.region or (regions if is_region else 0)
+        scopes[-1][name] = scopes[-1].get(name, 0) + 1
+        if name in ("article", "main", "body"):
+            scopes.append({})
+        if name in BLOCKS:
+            block_places.append(len(stack))
+        stack.append(_Open(name, top.hidden or hidden, top.marked or marked, region))
         links += name == "a"
     end()
     return found
 
 
+GOOD, BAD, OPEN = True, False, None
+
+
+def grade(b: Block) -> bool | None:
+    """Pass one, by density alone."""
+    size = len(b.text)
+    words = _WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if b.linked > MAX_LINK_DENSITY * size:
+        return GOOD if b.region and size >= SHORT and stops >= STOP_HIGH else BAD
+    if b.heading or size < SHORT:
+        return OPEN
+    if stops >= STOP_HIGH and (size > LONG or b.region):
+        return GOOD
+    if stops >= STOP_LOW or b.region:
+        return OPEN
+    return BAD
+
+
 def labels_of(blocks: list[Block]) -> list[bool]:
     """Whether each block is kept."""
-    landmark = any(b.inside and not b.out for b in blocks)
+    own = [grade(b) for b in blocks]
+    if not any(g is GOOD and not b.marked for g, b in zip(own, blocks, strict=True)) and not any(b.region and not b.marked for b in blocks):
+        marked = [False] * len(blocks)  # the marks leave no article
+    else:
+        marked = [b.marked for b in blocks]
+    article = any(b.region and not m for b, m in zip(blocks, marked, strict=True))
     first: list[bool | None] = []
-    for b in blocks:
-        size = len(b.text)
-        if b.out or b.linked > MAX_LINK_DENSITY * size or landmark and not b.inside:
-            first.append(False)
-            continue
-        words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        if b.inside:
-            first.append(True if size >= SHORT or stops >= STOP_LOW else None)
-        elif b.heading or size < SHORT:
-            first.append(None)
-        elif stops >= STOP_HIGH:
-            first.append(True)
-        elif stops >= STOP_LOW:
-            first.append(True if size > LONG else None)
-        else:
-            first.append(None if "©" not in b.text and size > LONG else False)
+    for b, m, g in zip(blocks, marked, own, strict=True):
+        if m:
+            g = BAD
+        elif article and not b.region:
+            g = OPEN if g is GOOD else BAD
+        first.append(g)
+    # A linked line by itself in an article is no list of links.
+    for k, b in enumerate(blocks):
+        if first[k] is BAD and b.region and not marked[k]:
+            beside = [j for j in (k - 1, k + 1) if 0 <= j < len(blocks) and blocks[j].region == b.region]
+            if not any(blocks[j].linked > MAX_LINK_DENSITY * len(blocks[j].text) for j in beside):
+                first[k] = OPEN
     n = len(blocks)
-    before: list[bool | None] = [None] * n
-    after: list[bool | None] = [None] * n
+    before, after = [OPEN] * n, [OPEN] * n
     for k in range(1, n):
-        before[k] = before[k - 1] if first[k - 1] is None else first[k - 1]
+        if blocks[k].region == blocks[k - 1].region or not blocks[k].region:
+            before[k] = before[k - 1] if first[k - 1] is OPEN else first[k - 1]
     for k in range(n - 2, -1, -1):
-        after[k] = after[k + 1] if first[k + 1] is None else first[k + 1]
+        if blocks[k].region == blocks[k + 1].region or not blocks[k].region:
+            after[k] = after[k + 1] if first[k + 1] is OPEN else first[k + 1]
+    any_decided = any(x is not OPEN for x in first)
     out = []
     for k, b in enumerate(blocks):
-        if (label := first[k]) is None:
-            near = [x for x in ((after[k],) if b.heading else (before[k], after[k])) if x is not None]
-            if b.inside:  # decided blocks inside are kept unless they are links
-                label = not near or any(near) or landmark
+        if (label := first[k]) is OPEN:
+            near = [x for x in ((after[k],) if b.heading and after[k] is not OPEN else (before[k], after[k])) if x is not OPEN]
+            if b.region:
+                label = not near or any(near)
             else:
-                label = bool(near) and all(near) or not near and not any(x is not None for x in first)
-        out.append(label)
+                label = bool(near) and all(near) or not any_decided
+        out.append(bool(label))
     return out
 
 
