@@ -8,10 +8,10 @@ next stretch of the block decodes without the ones before it. Blocks carry CRC-3
 and of their ids, tables one of theirs.
 
 The file is a Parquet table: part, segment, block (-1: the segment's table), n_docs, n_tokens, body. Memory is
-bounded by a segment; a document longer than BLOCK makes a block of its own size.
+bounded by a segment; a document longer than BLOCK makes a block of its own size. Reading deals segments to all tasks.
 
 Defined cases: null and empty texts hold the end id alone; repeated doc_ids stand next to each other, in
-order of their texts; a null doc_id stands first; an empty table gives an empty file and result; other columns
+order of their texts, all in one part; a null doc_id stands first; very long texts are encoded whole, as a piece of their own; an empty table gives an empty file and result; other columns
 are not looked at.
 """
 
@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cytoplan.llm import textbuf
 from cytoplan.llm.bpe import default_tokenizer
@@ -34,6 +35,8 @@ from cytoplan.llm.common import shared_folder
 from cytoplan.llm.pretokens import Encoder
 
 LANES, STEPS, BLOCK, SEGMENT = 1024, 128, 1 << 18, 1 << 22
+#: Text of a part, about; there are as many parts as shuffle partitions at least.
+PART_BYTES = 1 << 27
 #: Frequencies add up to 2 ** SCALE_BITS; states stay in [2 ** 31, 2 ** 63) and shift 32 bits at a time.
 SCALE_BITS, LOW = 20, 1 << 31
 END_ID, MAGIC = 0, b"CYTB"
@@ -209,51 +212,52 @@ def write_file(documents: DataFrame, to: str, tokenizer: str | None = None) -> N
     """Encodes every document and writes the file, in ascending order of doc_id."""
     path = tokenizer or default_tokenizer()
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES), 1)
     docs = docs.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     docs.mapInArrow(lambda b: _write(b, path), FILE_SCHEMA).write.parquet(to)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by part, segment and block, a segment's table before its blocks."""
+    """Rows (block, start, body) come segment by segment, its table before its blocks. A block decodes by itself, given the table."""
     table = slots = None
-    part, at = None, 0
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["part"] != part:
-                part, at = row["part"], 0
-            if row["block"] < 0:
-                table = Table.unpack(row["body"])
+        for i in range(len(batch)):
+            block, at, body = (c[i].as_py() for c in batch.columns)
+            if block < 0:
+                table = Table.unpack(body)
                 slots = table.slots()
                 continue
-            size, crc = struct.unpack_from("<II", row["body"])
-            index = row["body"][8 : 8 + size]
+            size, crc = struct.unpack_from("<II", body)
+            index = body[8 : 8 + size]
             if zlib.crc32(index) != crc:
                 raise ValueError("an index is damaged")
             docs = pa.ipc.open_stream(zlib.decompress(index)).read_all()
             n = docs["n"].to_numpy()
-            ids = np.ascontiguousarray(decode_block(row["body"][8 + size :], table, slots), "<u4")
+            ids = np.ascontiguousarray(decode_block(body[8 + size :], table, slots), "<u4")
             ends = np.cumsum(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(n), pa.int32()), docs["doc_id"].combine_chunks(), pa.array(at + ends - n), pa.array(n),
+                [docs["doc_id"].combine_chunks(), pa.array(at + ends - n), pa.array(n),
                  pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(np.concatenate(([0], ends * 4))), pa.py_buffer(ids)]).cast(pa.binary())],
-                names=["part", "doc_id", "start", "n_tokens", "ids"],
+                names=["doc_id", "start", "n_tokens", "ids"],
             )
-            at += int(ends[-1])
 
 
 def read_file(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens and ids (binary, 4 bytes each) of every document."""
+    """doc_id, start (ids of all documents before it), n_tokens and ids (binary, 4 bytes each) of every document.
+
+    Where a segment's ids start follows from the counts alone, without the bodies; then segments are dealt to all tasks, and decode in parallel.
+    """
     blocks = spark.read.schema(FILE_SCHEMA).parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row for each part
-    offsets, at = [], 0
-    for r in totals:
-        offsets.append((r.part, at))
-        at += r.n
-    offsets = spark.createDataFrame(offsets, "part int, before long")
-    parts = blocks.repartition(F.col("part")).sortWithinPartitions("part", "segment", "block")
-    docs = parts.mapInArrow(_read, "part int, doc_id long, start long, n_tokens long, ids binary")
-    return docs.join(F.broadcast(offsets), "part").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids")
+    sizes = blocks.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n"))
+    in_part = F.sum("n").over(Window.partitionBy("part").orderBy("segment")) - F.col("n")  # a row for each segment
+    parts = sizes.groupBy("part").agg(F.sum("n").alias("n"))  # a row for each part
+    before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    starts = sizes.withColumn("in_part", in_part).join(before, "part").select("part", "segment", (F.col("before") + F.col("in_part")).alias("start"))
+    rows = blocks.join(starts, ["part", "segment"]).repartition("part", "segment")
+    own = F.sum("n_tokens").over(Window.partitionBy("part", "segment").orderBy("block")) - F.col("n_tokens")  # at most SEGMENT / BLOCK rows and one longer document
+    rows = rows.select("part", "segment", "block", (F.col("start") + own).alias("start"), "body").sortWithinPartitions("part", "segment", "block")
+    return rows.select("block", "start", "body").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def round_trip(documents: DataFrame, tokenizer: str | None = None, to: str | None = None) -> DataFrame:
