@@ -58,5 +58,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: Words of a text t, and documents with a number that tells rows of one doc_id apart.
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(t, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_DOCS = "docs AS (SELECT doc_id, text AS t, row_number() OVER (PARTITION BY doc_id ORDER BY text) AS c FROM documents)"
+
+SQL = {
+    "op2_substrings": f"""
+        WITH {_DOCS}, w AS (SELECT doc_id, c, {_WORDS} AS ws FROM docs),
+        starts AS (SELECT doc_id, c, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+        win AS (SELECT doc_id, c, i, array_to_string(ws[i:i + 19], ' ') AS run FROM starts),
+        later AS (SELECT doc_id, c, i FROM win QUALIFY row_number() OVER (PARTITION BY run ORDER BY doc_id NULLS FIRST, c, i) > 1),
+        gone AS (SELECT DISTINCT doc_id, c, unnest(range(i, i + 20)) AS k FROM later),
+        every AS (SELECT doc_id, c, unnest(range(1, len(ws) + 1)) AS k, unnest(ws) AS word FROM w),
+        kept AS (
+            SELECT e.doc_id, e.c, count(g.k) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY e.k) FILTER (g.k IS NULL), '') AS kept
+            FROM every e LEFT JOIN gone g ON e.doc_id IS NOT DISTINCT FROM g.doc_id AND e.c = g.c AND e.k = g.k GROUP BY 1, 2
+        )
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k ON w.doc_id IS NOT DISTINCT FROM k.doc_id AND w.c = k.c""",
+    # A repeated run of ten words or more is covered by its parts of ten lines at most that have ten words or more.
+    "op8_line_runs": f"""
+        WITH {_DOCS}, every AS (SELECT doc_id, c, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS line, unnest(string_split(t, chr(10))) AS t FROM docs),
+        counted AS (SELECT doc_id, c, line, t, len({_WORDS}) AS n FROM every),
+        full_lines AS (SELECT *, row_number() OVER (PARTITION BY doc_id, c ORDER BY line) AS k FROM counted WHERE n > 0),
+        runs AS (
+            SELECT a.doc_id, a.c, a.k, s.size, (sum(b.n))::BIGINT AS n, string_agg(b.t, chr(10) ORDER BY b.k) AS run
+            FROM full_lines a CROSS JOIN (SELECT unnest(range(1, 11)) AS size) s
+            JOIN full_lines b ON a.doc_id IS NOT DISTINCT FROM b.doc_id AND a.c = b.c AND b.k BETWEEN a.k AND a.k + s.size - 1
+            GROUP BY 1, 2, 3, 4 HAVING count(*) = s.size AND sum(b.n) >= 10
+        ),
+        later AS (SELECT doc_id, c, k, size FROM runs QUALIFY row_number() OVER (PARTITION BY run, size ORDER BY doc_id NULLS FIRST, c, k) > 1),
+        gone AS (SELECT DISTINCT doc_id, c, unnest(range(k, k + size)) AS k FROM later),
+        named AS (SELECT f.doc_id, f.c, f.line FROM full_lines f JOIN gone g ON f.doc_id IS NOT DISTINCT FROM g.doc_id AND f.c = g.c AND f.k = g.k),
+        left_lines AS (
+            SELECT e.doc_id, e.c, count(n.line) AS n_removed, string_agg(e.t, chr(10) ORDER BY e.line) FILTER (n.line IS NULL) AS t
+            FROM every e LEFT JOIN named n ON e.doc_id IS NOT DISTINCT FROM n.doc_id AND e.c = n.c AND e.line = n.line GROUP BY 1, 2
+        )
+        SELECT d.doc_id, coalesce(n_removed, 0)::INTEGER AS n_removed, sha256(coalesce(l.t, '')) AS text_sha256
+        FROM docs d LEFT JOIN left_lines l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.c = l.c""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
