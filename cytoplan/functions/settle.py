@@ -11,10 +11,14 @@ from pyspark.sql import DataFrame
 def settled(df: DataFrame) -> DataFrame:
     """df as a Parquet table below spark.checkpoint.dir: computed once, and a lost executor costs nothing.
 
-    Only where neither that setting nor a checkpoint folder is set (tests, one machine) a folder of this machine serves.
+    Only where neither that setting nor a checkpoint folder is set, and the session is of one machine, a folder of this machine serves.
     """
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cytoplan-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="cytoplan-")
     path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
