@@ -17,6 +17,7 @@ are not looked at.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,6 +46,7 @@ FILE_SCHEMA = "part int, segment int, block int, n_docs long, n_tokens long, bod
 
 @lru_cache(2)
 def _library_encoder(path: str) -> Encoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are parallel already
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
