@@ -11,11 +11,15 @@ of a repeated run has MIN_WORDS words from it to the end of the run, or from the
 window from the start of the run goes beyond it; so the union of both kinds of windows is the maximal repeated run, and
 its lines are deleted. No window has more than MIN_WORDS lines, as every line in it has a word.
 
-All naming is grouped minima with map-side combining and joins on names; no group of copies is gathered.
+Doubling stops at 16 lines, though longer runs repeat: a name is an interval of the suffix array (the suffixes that share a prefix), and the
+intervals of longer prefixes only repeat what the windows have decided, as every longer repeated run is a union of repeated windows.
+
+All naming is grouped minima with map-side combining and joins on names; no group of copies is gathered, and the most frequent lines are
+joined by a broadcast of bounded size.
 
 Defined cases: lines without words are never deleted and count no words; null texts stay null; rows of a null doc_id stand before
 those of doc_id 0; repeated rows of a
-doc_id are told apart by a hash of their text and row; ties cannot arise, as places are distinct; an empty table gives an
+doc_id are told apart by a hash of their text and row; ties cannot arise, as places are distinct; very long texts are cut into lines like any other; an empty table gives an
 empty result; all columns of the input are kept, whatever their names.
 """
 
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cytoplan.llm.common import SEPARATORS, with_copy_numbers, written
+from cytoplan.llm.common import SEPARATORS, join_with_hot_keys, with_copy_numbers, written
 
 MIN_WORDS = 10
 
@@ -41,10 +45,14 @@ def lines_of(documents: DataFrame) -> DataFrame:
 PLACE = ("doc_id", "copy", "line")
 
 
+def _firsts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The first place of the rows of equal keys, and their number, where there are several."""
+    return rows.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias(name), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
 def _name(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds to rows the first place of their keys; rows whose keys stand once are dropped."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct(*PLACE)).alias(name), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
-    return rows.join(first, keys)
+    return rows.join(_firsts(rows, keys, name).drop("copies"), keys)
 
 
 def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -65,7 +73,8 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.select(*PLACE, "h1", "h2", "n", ahead.alias("ahead"), F.row_number().over(order).alias("k"))
     lines = lines.select(*PLACE, "h1", "h2", got["sizes"].alias("sizes"), "k")
     lines = written(lines, "lines")
-    named = written(_name(lines, ["h1", "h2"], "a").select(*PLACE, "k", "sizes", "a"), "names")
+    firsts = written(_firsts(lines, ["h1", "h2"], "a"), "firsts")
+    named = written(join_with_hot_keys(lines, firsts, ["h1", "h2"], "copies").select(*PLACE, "k", "sizes", "a"), "names")
     deleted = named.where(F.array_contains("sizes", 1)).where(F.col("a") != F.struct(*PLACE)).select(*PLACE)
     width = 1
     while width < min_words:
