@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +11,49 @@ from cytoplan.functions.settle import settled
 EPS = 1e-8
 
 
+#: Sources times arcs (or clusters squared) that the driver works on.
+DRIVER_CELLS = 4_000_000
+
+
+def _collected(arcs: DataFrame, starts: DataFrame) -> tuple[list, list] | None:
+    """The rows of both, or None if there are too many for the driver."""
+    most = int(DRIVER_CELLS**0.5) * 10
+    rows = arcs.limit(most + 1).collect()
+    sources = starts.select("cluster").distinct().limit(most + 1).collect() if len(rows) <= most else []
+    return (rows, [r.cluster for r in sources]) if len(rows) <= most and len(rows) * max(1, len(sources)) <= DRIVER_CELLS else None
+
+
+def _small_path_lengths(arcs: list, sources: list, longest: bool, max_rounds: int, starts: DataFrame) -> DataFrame:
+    names = list(dict.fromkeys([*sources, *(r.s for r in arcs), *(r.t for r in arcs)]))
+    place = {c: k for k, c in enumerate(names)}
+    s, t, step = (np.array([f(r) for r in arcs]) for f in (lambda r: place[r.s], lambda r: place[r.t], lambda r: float(r.step)))
+    none = -np.inf if longest else np.inf
+    length = np.full((len(names), len(sources)), none)
+    length[[place[c] for c in sources], np.arange(len(sources))] = 0.0
+    meet = np.maximum if longest else np.minimum
+    for _ in range(max_rounds if arcs else 0):
+        before = length.copy()
+        meet.at(length, t, before[s] + step[:, None])
+        if np.array_equal(before, length):
+            break
+    else:
+        if arcs:
+            raise RuntimeError(f"path lengths did not settle in {max_rounds} rounds")
+    kind = dict(starts.dtypes)["cluster"]
+    rows = [(sources[j], names[i], float(length[i, j])) for i, j in zip(*np.nonzero(np.isfinite(length)), strict=True)]
+    return starts.sparkSession.createDataFrame(rows, f"source {kind}, cluster {kind}, length double")
+
+
 def path_lengths(arcs: DataFrame, starts: DataFrame, longest: bool = False, max_rounds: int = 1000) -> DataFrame:
     """(source, cluster, length) of the shortest paths, or of the longest on a graph without cycles. arcs: s, t, step; starts: cluster.
 
-    One join a round, each round adds one arc; it ends when no length changes.
+    Each round adds one arc; it ends when no length changes. A graph of few clusters is settled by the driver; beyond DRIVER_CELLS a round is
+    a join.
     """
     best = F.max if longest else F.min
+    small = _collected(arcs, starts)
+    if small is not None:
+        return _small_path_lengths(*small, longest, max_rounds, starts)
     now = settled(starts.select(F.col("cluster").alias("source"), "cluster", F.lit(0.0).alias("length")))
     own = settled(arcs.groupBy("s", "t").agg(best("step").alias("step")))
     for _ in range(max_rounds):
@@ -97,11 +135,43 @@ def terminals(edges: DataFrame, cluster_pt: DataFrame, root: DataFrame) -> DataF
     return last.select("last.cluster")
 
 
-def absorption(transitions: DataFrame, ends: DataFrame, rounds: int = 40) -> DataFrame:
+def absorption(transitions: DataFrame, ends: DataFrame, rounds: int = 60) -> DataFrame:
     """(cluster, terminal, p): chance to be absorbed by each terminal, by squaring the step probabilities until they rest.
 
-    transitions: from_cluster, to_cluster, p. Rows are brought to sum 1 over the terminals, or 0 where none is reached. Clusters are few.
+    transitions: from_cluster, to_cluster, p. Rows are brought to sum 1 over the terminals, or 0 where none is reached. A graph of few
+    clusters is settled by the driver; beyond DRIVER_CELLS a squaring is a join.
     """
+    clusters = transitions.select(F.col("from_cluster").alias("cluster")).distinct()
+    count = clusters.count()
+    now = _small_powers(transitions, rounds) if count * count <= DRIVER_CELLS else _large_powers(transitions, rounds)
+    # Of what has reached a terminal by then, the shares.
+    grid = clusters.crossJoin(F.broadcast(ends.select(F.col("cluster").alias("terminal"))))  # a row for each terminal
+    full = grid.join(now.toDF("cluster", "terminal", "p"), ["cluster", "terminal"], "left").na.fill(0.0, ["p"])
+    total = full.groupBy("cluster").agg(F.greatest(F.sum("p"), F.lit(1e-12)).alias("total"))
+    return full.join(total, "cluster").select("cluster", "terminal", (F.col("p") / F.col("total")).alias("p"))
+
+
+def _small_powers(transitions: DataFrame, rounds: int) -> DataFrame:
+    rows = transitions.collect()
+    names = list(dict.fromkeys([*(r.from_cluster for r in rows), *(r.to_cluster for r in rows)]))
+    place = {c: k for k, c in enumerate(names)}
+    p = np.zeros((len(names), len(names)))
+    for r in rows:
+        p[place[r.from_cluster], place[r.to_cluster]] += r.p
+    for _ in range(rounds):
+        after = p @ p
+        moved, p = bool((np.abs(after - p) > 1e-12).any()), after
+        if not moved:
+            break
+    else:
+        if len(names):
+            raise RuntimeError(f"absorption did not settle in {rounds} squarings")
+    kind = dict(transitions.dtypes)["from_cluster"]
+    found = [(names[i], names[j], float(p[i, j])) for i, j in zip(*np.nonzero(p > 0), strict=True)]
+    return transitions.sparkSession.createDataFrame(found, f"from_cluster {kind}, to_cluster {kind}, p double")
+
+
+def _large_powers(transitions: DataFrame, rounds: int) -> DataFrame:
     now = settled(transitions.groupBy("from_cluster", "to_cluster").agg(F.sum("p").alias("p")))
     for _ in range(rounds):
         further = now.toDF("from_cluster", "m", "p").join(now.toDF("m", "to_cluster", "q"), "m").groupBy("from_cluster", "to_cluster").agg(F.sum(F.col("p") * F.col("q")).alias("p")).where("p > 1e-15")
@@ -109,9 +179,5 @@ def absorption(transitions: DataFrame, ends: DataFrame, rounds: int = 40) -> Dat
         moved = after.join(now.withColumnRenamed("p", "old"), ["from_cluster", "to_cluster"], "full").where("abs(coalesce(p, 0) - coalesce(old, 0)) > 1e-12")
         now = after
         if moved.isEmpty():
-            break
-    # Of what has reached a terminal by then, the shares.
-    grid = transitions.select(F.col("from_cluster").alias("cluster")).distinct().crossJoin(F.broadcast(ends.select(F.col("cluster").alias("terminal"))))
-    full = grid.join(now.toDF("cluster", "terminal", "p"), ["cluster", "terminal"], "left").na.fill(0.0, ["p"])
-    total = full.groupBy("cluster").agg(F.greatest(F.sum("p"), F.lit(1e-12)).alias("total"))
-    return full.join(total, "cluster").select("cluster", "terminal", (F.col("p") / F.col("total")).alias("p"))
+            return now
+    raise RuntimeError(f"absorption did not settle in {rounds} squarings")
