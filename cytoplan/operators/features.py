@@ -26,6 +26,23 @@ def top_features(variances: DataFrame, n: int = 2000) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("variance"), "gene_id")).cast("long"))
 
 
+def select_features(logcounts: DataFrame, genes: DataFrame, n_cells: int, feature_set: str = "hvg", n: int = 2000) -> DataFrame:
+    """(gene_id) chosen: all genes; or, if genes has an is_hvg that holds for some, those, whatever n; or the n of highest variance.
+
+    genes: gene_id, optionally is_hvg. Genes without a row of logcounts have variance 0 and come last, by name.
+    """
+    if feature_set == "all":
+        return genes.select("gene_id")
+    if feature_set != "hvg":
+        raise ValueError(f"unknown feature set {feature_set}")
+    if "is_hvg" in genes.columns:
+        cached = genes.where("is_hvg").select("gene_id")
+        if not cached.isEmpty():
+            return cached
+    variance = genes.select("gene_id").join(gene_variance(logcounts, n_cells), "gene_id", "left").na.fill(0.0, ["mean", "variance"])
+    return top_features(variance, n).select("gene_id")
+
+
 def scale_to_unit(df: DataFrame, column: str, to: str) -> DataFrame:
     """Min-max scale; nulls stay, a constant column becomes 0."""
     ends = df.agg(F.min(column).alias("low__"), F.max(column).alias("high__"))

@@ -32,6 +32,27 @@ def merge_objects(objects: list[tuple[str, DataFrame, DataFrame]], mode: str = "
     return reduce(fill, cells), reduce(fill, counts)
 
 
+def prefix_of(cells: DataFrame, position: int, columns: tuple[str, ...] = ("sample", "batch")) -> str:
+    """The only value that an object's cells have in the first column with one, else sample and its position from 1."""
+    for c in columns:
+        if c in cells.columns:
+            found = cells.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().limit(2).collect()
+            if len(found) == 1:
+                return found[0][0]
+    return f"sample{position}"
+
+
+def merge_logcounts(objects: list[tuple[str, DataFrame, DataFrame | None]], counts: list[DataFrame], mode: str = "intersect") -> DataFrame | None:
+    """The log counts of merged objects, with the ids of merge_objects over the same counts; None unless every object has them."""
+    if any(logs is None for _, _, logs in objects):
+        return None
+    ids = reduce(DataFrame.unionByName, [c.select("cell_id").distinct() for _, c, _ in objects])
+    clash = not ids.groupBy("cell_id").count().where("count > 1").isEmpty()
+    genes = shared_genes(counts, mode)
+    name = lambda prefix: F.concat_ws("_", F.lit(prefix), F.col("cell_id").cast("string")) if clash else F.col("cell_id").cast("string")
+    return reduce(DataFrame.unionByName, [logs.join(genes, "gene_id", "left_semi").select(name(prefix).alias("cell_id"), "gene_id", "logcount") for prefix, _, logs in objects])
+
+
 def coalesce_metadata(tables: list[DataFrame], key: str) -> DataFrame:
     """Union of the columns; the first value that is not null, in the order of the tables."""
     tagged = [t.withColumn("order__", F.lit(i)) for i, t in enumerate(tables)]
@@ -55,7 +76,7 @@ def merge_reductions(objects: list[tuple[DataFrame, dict[str, DataFrame]]]) -> t
             ids = cells.select("cell_id", F.col("original_cell_id").alias("id__"))
             parts.append(ids.join(reductions[name].select(F.col("cell_id").alias("id__"), "embedding"), "id__", "left").drop("id__"))
         if len(sizes) > 1:
-            skipped[name] = f"dimension mismatch ({', '.join(map(str, sorted(s for s in sizes if s is not None)))})"
+            skipped[name] = f"embeddings of different lengths ({', '.join(map(str, sorted(s for s in sizes if s is not None)))})"
         elif any(p.where("embedding is not null").isEmpty() for p in parts):
             skipped[name] = "no cell of an object is in its embedding"
         else:

@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def pseudobulk(cells: DataFrame, counts: DataFrame, keys: list[str], how: str = "sum", min_cells: int = 1, prefix: str = "pb_") -> tuple[DataFrame, DataFrame]:
+def pseudobulk(cells: DataFrame, counts: DataFrame, keys: list[str], how: str = "sum", min_cells: int = 1, prefix: str = "pb_", check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(samples, values): groups of complete-case cells, named in the order of their keys, and gene totals (or means) of each."""
     used = cells.dropna(subset=keys).select("cell_id", *keys)
+    if check and used.isEmpty():
+        raise ValueError("no cell has a value in every grouping column")
     groups = used.groupBy(*keys).agg(F.count(F.lit(1)).alias("ncells")).where(F.col("ncells") >= min_cells)
     # The sample table is small: a row for each group.
     number = F.row_number().over(Window.orderBy(*keys))
     samples = groups.withColumn("pb_sample_id", F.concat(F.lit(prefix), number.cast("string")))
-    by_cell = used.join(F.broadcast(samples), keys).select("cell_id", "pb_sample_id", "ncells")
+    by_cell = used.join(samples, keys).select("cell_id", "pb_sample_id", "ncells")
     value = F.sum("value") if how == "sum" else F.sum("value") / F.first("ncells")
     values = counts.join(by_cell, "cell_id").groupBy("pb_sample_id", "gene_id").agg(value.alias("value"))
     return samples, values
@@ -53,8 +55,11 @@ def quantiles_by(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     return df.groupBy(*keys).agg(q(0.25).alias("q25"), F.median(column).alias("median"), q(0.75).alias("q75"))
 
 
-def normalised_crosstab(df: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Counts of all combinations of levels, and their share of the truth's row."""
+def normalised_crosstab(df: DataFrame, truth: str, predicted: str, by: str = "row") -> DataFrame:
+    """Counts of all combinations of levels, and their share of the truth's row, of the predicted column, or (by="none") the count itself."""
     levels = df.select(truth).distinct().crossJoin(F.broadcast(df.select(predicted).distinct()))  # level lists
     full = levels.join(df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n")), [truth, predicted], "left").na.fill(0, ["n"])
-    return full.withColumn("share", F.col("n") / F.greatest(F.sum("n").over(Window.partitionBy(truth)), F.lit(1)))
+    if by == "none":
+        return full.withColumn("share", F.col("n").cast("double"))
+    side = {"row": truth, "column": predicted}[by]
+    return full.withColumn("share", F.col("n") / F.greatest(F.sum("n").over(Window.partitionBy(side)), F.lit(1)))

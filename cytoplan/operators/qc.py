@@ -27,6 +27,28 @@ def qc_metrics(cells: DataFrame, counts: DataFrame, rrna_pattern: str = RRNA_PAT
     )
 
 
+# Classes of genes that count as ribosomal RNA and as ribosomal proteins.
+RRNA_CLASSES, RIBO_CLASSES = ("rrna", "r_rna", "ribosomal_rna"), ("ribo", "ribosomal_protein", "ribo_protein")
+
+
+def qc_metrics_by_class(cells: DataFrame, counts: DataFrame, genes: DataFrame, gene_class: str) -> DataFrame:
+    """The metrics of qc_metrics, with genes told by a column of genes (gene_id, ...) instead of their names."""
+    if gene_class not in genes.columns:
+        raise ValueError(f"the genes have no column {gene_class}")
+    kind = F.lower(F.col(gene_class).cast("string"))
+    name = F.when(kind.isin(*RRNA_CLASSES), "rrna").when(kind.isin(*RIBO_CLASSES), "ribo").otherwise("other")
+    of = genes.select("gene_id", name.alias("kind__"))
+    # What qc_metrics looks at are names: a gene's kind and a number that tells genes apart stand for it.
+    told = counts.join(of, "gene_id", "left").select("cell_id", F.coalesce("kind__", F.lit("other")).alias("gene_id"), "value")
+    return qc_metrics(cells, told, "^rrna$", "^ribo$")
+
+
+def filter_summary(metrics: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: kept_cells and removed_cells of a filter."""
+    after = kept.agg(F.count(F.lit(1)).alias("kept_cells"))
+    return metrics.agg(F.count(F.lit(1)).alias("all")).crossJoin(after).select("kept_cells", (F.col("all") - F.col("kept_cells")).alias("removed_cells"))  # one row each
+
+
 def filter_cells(
     metrics: DataFrame, min_counts: float | None = None, min_features: int | None = None, max_rrna_fraction: float | None = None, custom: Column | str | None = None
 ) -> DataFrame:
