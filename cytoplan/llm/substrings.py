@@ -7,7 +7,9 @@ earlier in the same document). Equal windows are brought together without compar
    mostly share it. Such a run of windows is a snippet. Equal windows have equal anchors, so the
    snippets of one anchor are all that have to be compared. A task sends on the earliest of equal snippets and
    decides the later ones itself, so copies are combined before the shuffle.
-2. Equal snippets. Snippets are dealt by anchor and content; all but the earliest of equal ones are later copies as a whole.
+2. Equal snippets. Snippets are dealt by anchor and sorted; all but the earliest of equal ones are later copies as a whole, and an anchor with
+   one snippet alone is done with. Of the BUSY_MOST anchors that stand most often, found by a pass that counts what repeats within a task's piece, snippets
+   are dealt by anchor and content instead, so that none of them is one task's work.
 3. Reference shards. Where an anchor has different snippets, these overlap in part. Their words are fetched, and
    each anchor's snippets are streamed, earliest first, through the suffix automaton of those before: wherever
    the matching statistic reaches WINDOW the window stands earlier. A snippet that brings new windows
@@ -41,6 +43,8 @@ from cytoplan.llm.common import join_with_hot_keys, with_copy_numbers, written
 WINDOW, ANCHOR = 20, 8
 #: Different snippets of an anchor that one automaton takes.
 HOT = 2000
+#: Rows that make an anchor busy, rows of a piece that are counted for it, and busy anchors at most.
+BUSY, BUSY_LOCAL, BUSY_MOST = 1000, 8, 1000
 NO_ID = -(1 << 63)  # stands for a null doc_id
 _TYPES = {"long": pa.int64(), "int": pa.int32()}
 
@@ -83,7 +87,8 @@ def snippets_of(h: np.ndarray, first: np.ndarray, window: int, anchor: int):
     return row[low], low, n, _signed(spans[at[begin]]), _signed(runs.of(low, low + n + window - 1))
 
 
-def _snippets(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+def _combined(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """a, s, id, copy, low and n of the snippets of each piece, sorted, and whether an equal one stands earlier in the piece."""
     for batch in batches:
         for piece in textbuf.pieces(batch.column(2), 1 << 22):
             starts, ends, first = textbuf.words(piece)
@@ -93,23 +98,60 @@ def _snippets(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> It
             low = low - first[:-1][row]
             order = np.lexsort((low, copies, ids, s, a))
             ids, copies, low, n, a, s = (x[order] for x in (ids, copies, low, n, a, s))
-            later = np.zeros(len(a), np.int32)
+            later = np.zeros(len(a), bool)
             later[1:] = (a[1:] == a[:-1]) & (s[1:] == s[:-1])
-            yield _batch(SNIPPETS, later, a, s, ids, copies, low, n.astype(np.int32))
+            yield a, s, ids, copies, low, n.astype(np.int32), later
+
+
+def _counted(batches: Iterator[pa.RecordBatch], window: int, anchor: int) -> Iterator[pa.RecordBatch]:
+    for a, *_, later in _combined(batches, window, anchor):
+        own, n = np.unique(a[~later], return_counts=True)
+        yield _batch("a long, n long", own[n >= BUSY_LOCAL], n[n >= BUSY_LOCAL])
+
+
+def busy_anchors(docs: DataFrame, window: int, anchor: int) -> np.ndarray:
+    found = docs.mapInArrow(lambda b: _counted(b, window, anchor), "a long, n long").groupBy("a").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") > BUSY).orderBy(F.desc("n"), "a").limit(BUSY_MOST).collect()
+    return np.array([r.a for r in rows], np.int64)
+
+
+def _snippets(batches: Iterator[pa.RecordBatch], window: int, anchor: int, busy: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """kind 0: to be compared with its anchor's others, 1: a later copy, 2: of a busy anchor."""
+    for a, s, ids, copies, low, n, later in _combined(batches, window, anchor):
+        kind = np.where(later, 1, np.where(np.isin(a, busy), 2, 0)).astype(np.int32)
+        yield _batch(SNIPPETS, kind, a, s, ids, copies, low, n)
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by a, s and place. kind 1 in: known later copies; kind 0 out: later copies, 1: the first of equal snippets."""
-    last = None
+    """Rows come sorted by a, s and place. kind out: 0 later copies, 1: firsts of equal snippets, of anchors that have several.
+
+    The first snippet of an anchor waits until another of it is met.
+    """
+    last, last_anchor, waiting = None, None, None
     for batch in batches:
         if not len(batch):
             continue
-        kind, a, s, ids, copies, low, n = (c.to_numpy() for c in batch.columns)
+        columns = [c.to_numpy() for c in batch.columns]
+        kind, a, s = columns[:3]
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
         new[0] = last != (a[0], s[0])
         last = (a[-1], s[-1])
-        yield _batch(FOUND, (new & (kind == 0)).astype(np.int32), a, ids, copies, low, n)
+        ask = new & (kind == 2)
+        at = np.flatnonzero(new & (kind == 0))
+        if len(at):
+            again = np.ones(len(at), bool)
+            again[1:] = a[at[1:]] == a[at[:-1]]
+            again[0] = last_anchor == a[at[0]]
+            if again[0] and waiting is not None:
+                yield _batch(FOUND, [1], *([x] for x in waiting))
+                waiting = None
+            ask[at] = again
+            ask[at[:-1]] |= again[1:]
+            last_anchor = a[at[-1]]
+            waiting = None if again[-1] else tuple(columns[c][at[-1]] for c in (1, 3, 4, 5, 6))
+        out = np.flatnonzero(ask | ~new | (kind == 1))
+        yield _batch(FOUND, ask[out].astype(np.int32), *(columns[c][out] for c in (1, 3, 4, 5, 6)))
 
 
 class Automaton:
@@ -241,13 +283,16 @@ def dedup(documents: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot:
     docs = with_copy_numbers(documents).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("copy").cast("int"), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")
     )
-    snippets = docs.select("id", "copy", "text").mapInArrow(lambda b: _snippets(b, window, anchor), SNIPPETS)
-    # Rows decided already may go to any task.
-    key = F.when(F.col("kind") == 0, F.col("a")).otherwise(F.xxhash64("id", "low"))
-    dealt = snippets.withColumn("a", key).repartition("a", "s").sortWithinPartitions("a", "s", "id", "copy", "low")
+    texts = docs.select("id", "copy", "text")
+    busy = busy_anchors(texts, window, anchor)
+    snippets = texts.mapInArrow(lambda b: _snippets(b, window, anchor, busy), SNIPPETS)
+    # Rows decided already may go to any task; the snippets of a busy anchor go by their content.
+    key = F.when(F.col("kind") == 0, F.col("a")).when(F.col("kind") == 1, F.xxhash64("id", "low")).otherwise(F.xxhash64("a", "s"))
+    own = F.when(F.col("kind") == 1, key).otherwise(F.col("a"))
+    dealt = snippets.withColumn("key", key).withColumn("a", own).repartition("key").drop("key").sortWithinPartitions("a", "s", "id", "copy", "low")
     found = written(dealt.mapInArrow(_firsts, FOUND), "found")
     firsts = found.where("kind = 1").select("a", "id", "copy", "low", "n")
-    several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("a", (F.col("many") > hot).alias("hot"))
+    several = firsts.groupBy("a").agg(F.count(F.lit(1)).alias("many")).select("a", (F.col("many") > hot).alias("hot"))
     asks = firsts.join(several, "a").groupBy("id", "copy").agg(F.collect_list(F.struct("a", "low", "n", "hot")).alias("asks"))
     with_text = docs.join(asks, ["id", "copy"]).select("id", "copy", "text", "asks")
     words = written(with_text.mapInArrow(lambda b: _fetched(b, window), FETCHED), "words")

@@ -74,6 +74,18 @@ def test_windows_of_a_frequent_anchor(spark, hot):
     assert got == removed_by_brute_force(texts) and sum(x[2] for x in got) > 200
 
 
+def test_busy_anchors_are_dealt_by_content(spark, monkeypatch):
+    r = np.random.default_rng(10)
+    phrase = " ".join(f"common{k}" for k in range(12))
+    texts = [" ".join(f"v{x}" for x in r.integers(0, 3, 9)) + f" {phrase} " + " ".join(f"v{x}" for x in r.integers(0, 3, 9)) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(substrings, "BUSY", 20)
+    monkeypatch.setattr(substrings, "BUSY_LOCAL", 1)
+    assert len(substrings.busy_anchors(docs.selectExpr("doc_id AS id", "0 AS copy", "text"), 20, 8)) > 0
+    got = [(x.doc_id, x.n_words, x.n_removed) for x in substrings.dedup(docs, hot=30).orderBy("doc_id").collect()]
+    assert got == removed_by_brute_force(texts)
+
+
 def test_runs_are_equal_exactly_when_their_values_are():
     values = np.random.default_rng(0).integers(0, 2, 300).astype(np.uint64)
     runs, seen = textbuf.Runs(values), {}
