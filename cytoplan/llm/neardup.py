@@ -6,7 +6,10 @@
    costs a link for each point; all pairs of a bucket are in one component of these links.
 3. Each such component goes to a task with one text for each point, where shingle sets are compared exactly: points
    that are linked leave the search, and only sizes within the ratio are compared.
-4. Components of the exact links. Of each, the row of smallest doc_id stays.
+4. A component of more than two blocks of points is never held by one task. First one block of it is compared with each
+   of its blocks, which links most of a dense group. Then every bucket that still holds points of several classes is
+   compared in blocks: the points outside its largest class with all of its points. Points of one class need no more links.
+5. Components of the exact links. Of each, the row of smallest doc_id stays.
 
 Defined cases: texts without words (null or blank) are one point that is near nothing else; a null doc_id comes last in the order; rows of
 one doc_id are told apart by their copy numbers; an empty table gives an empty result.
@@ -22,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplan.llm import textbuf
-from cytoplan.llm.common import written
+from cytoplan.llm.common import join_with_hot_keys, written
 from cytoplan.llm.components import components
 from cytoplan.llm.simhash import links, prints_of, shingle_hashes
 
 #: A pair is near if inter / union >= SIMILAR[0] / SIMILAR[1].
 SIMILAR = (4, 5)
 BANDS, ROWS = 50, 7
+#: Points in a block: a task compares two of them at most.
+BLOCK = 1024
 _XOR, _ODD = np.random.default_rng(20240301).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -108,7 +113,7 @@ def exact_links(hashes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _compared(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    """Rows (root, point, text) come sorted by root. Of a component, the shingle sets are held."""
+    """Rows (task, point, text) come sorted by task. Of a task, the shingle sets are held."""
     key, points, hashes, sizes = None, [], [], []
 
     def settle() -> pa.RecordBatch:
@@ -140,8 +145,43 @@ def _members(linked: DataFrame) -> DataFrame:
     return linked.select(F.col("vertex").alias("point"), "root").union(linked.select("root", "root").distinct())
 
 
-def first_copies(documents: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, copy) of the rows to keep, one of each component. documents: doc_id, copy, text."""
+def tasks_of(block: int) -> F.Column:
+    """The comparisons that a point takes part in, of its columns root, point, n, query and blocks.
+
+    A group (root) of n points, two blocks at most, is one comparison. In a larger one each of the `blocks` blocks of points with
+    `query` meets each block of all points.
+    """
+    every = F.ceil(F.col("n") / block).cast("long")
+    number = lambda seed, many: F.pmod(F.xxhash64("point", F.lit(seed)), many)
+    upto = lambda many: F.sequence(F.lit(0).cast("long"), many - 1)
+    held = F.transform(upto(F.col("blocks")), lambda q: F.xxhash64("root", q, number(0, every)))
+    asked = F.transform(upto(every), lambda b: F.xxhash64("root", number(1, F.col("blocks")), b))
+    both = F.when(F.col("query"), F.concat(held, asked)).otherwise(held)
+    return F.when(F.col("n") > 2 * block, both).otherwise(F.array("root"))
+
+
+def _pairs(groups: DataFrame, points: DataFrame, docs: DataFrame, shingle: int, block: int) -> DataFrame:
+    """(a, b): the exact links that the groups' comparisons find."""
+    texts = groups.select("point", tasks_of(block).alias("tasks")).join(points.select("point", "first.doc_id", "first.copy"), "point")
+    texts = texts.join(docs, texts.doc_id.eqNullSafe(docs.doc_id) & (texts.copy == docs.copy)).select(F.explode("tasks").alias("task"), "point", docs.text)
+    found = texts.repartition("task").sortWithinPartitions("task").mapInArrow(lambda b: _compared(b, shingle), "a long, b long")
+    return written(found.where("a != b"), "pairs")
+
+
+def _still_apart(large: DataFrame, buckets: DataFrame, pairs: DataFrame, block: int) -> DataFrame:
+    """The buckets of the points of large components that hold several classes of the links so far, as groups."""
+    classes = large.join(_members(components(pairs)), "point", "left").select("point", F.coalesce("root", "point").alias("class"))
+    rows = written(buckets.join(classes, "point").select(F.col("bucket").alias("root"), "point", "class"), "candidates")
+    sizes = rows.groupBy("root", "class").agg(F.count(F.lit(1)).alias("own"))
+    most = F.max(F.struct("own", "class"))
+    sizes = sizes.groupBy("root").agg(F.sum("own").alias("n"), most.alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    blocks = F.ceil((F.col("n") - F.col("most.own")) / block).cast("long")
+    sizes = written(sizes.select("root", "n", F.col("most.class").alias("largest"), blocks.alias("blocks")), "mixed-buckets")
+    return join_with_hot_keys(rows, sizes, ["root"], "n").withColumn("query", F.col("class") != F.col("largest"))
+
+
+def first_copies(documents: DataFrame, shingle: int, block: int = BLOCK) -> DataFrame:
+    """(doc_id, copy) of the rows to keep, one of each component. documents: doc_id, copy, text. block: points of half a comparison."""
     docs = documents.select("doc_id", F.col("copy").cast("int").alias("copy"), F.col("text").cast("string").alias("text"))
     schema = f"doc_id {dict(docs.dtypes)['doc_id']}, copy int, point long, fp long, bands array<long>"
     rows = written(docs.mapInArrow(lambda b: _points_of(b, shingle), schema), "rows")
@@ -151,15 +191,20 @@ def first_copies(documents: DataFrame, shingle: int) -> DataFrame:
 
     heads = full.groupBy("fp").agg(F.min("point").alias("head"))
     by_fp = full.join(heads, "fp").select("point", "head")
-    near = links(heads.select("fp")).join(heads.toDF("a", "u"), "a").join(heads.toDF("b", "v"), "b").select("u", "v")
+    near = written(links(heads.select("fp")).join(heads.toDF("a", "u"), "a").join(heads.toDF("b", "v"), "b").select("u", "v"), "near")
     buckets = full.select("point", F.explode("bands").alias("bucket"))
     of_bucket = buckets.groupBy("bucket").agg(F.min("point").alias("head"), F.max("point").alias("other")).where("head < other").select("bucket", "head")
     stars = buckets.join(of_bucket, "bucket").select("point", "head")
-    maybe = _members(components(by_fp.union(near).union(stars)))
-
-    texts = maybe.join(points.select("point", "first.doc_id", "first.copy"), "point")
-    texts = texts.join(docs, texts.doc_id.eqNullSafe(docs.doc_id) & (texts.copy == docs.copy)).select("root", "point", docs.text)
-    pairs = texts.repartition("root").sortWithinPartitions("root").mapInArrow(lambda b: _compared(b, shingle), "a long, b long")
+    maybe = written(_members(components(by_fp.union(near).union(stars))), "maybe")
+
+    sizes = written(maybe.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    in_first = F.pmod(F.xxhash64("point", F.lit(0)), F.ceil(F.col("n") / block).cast("long")) == 0
+    groups = join_with_hot_keys(maybe, sizes, ["root"], "n").withColumns({"query": in_first, "blocks": F.lit(1).cast("long")})
+    pairs = _pairs(groups, points, docs, shingle, block)
+    if not sizes.where(F.col("n") > 2 * block).isEmpty():
+        large = groups.where(F.col("n") > 2 * block).select("point")
+        every = buckets.union(by_fp).union(near)
+        pairs = pairs.union(_pairs(_still_apart(large, every, pairs, block), points, docs, shingle, block))
 
     classes = _members(components(pairs)).join(points.select("point", "first"), "point")
     least = classes.groupBy("root").agg(F.min("first").alias("least"))

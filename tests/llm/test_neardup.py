@@ -48,6 +48,20 @@ def test_stage_keeps_one_of_every_group_at_jaccard_08(spark):
     assert got == first_of_groups(sets)
 
 
+def test_large_groups_are_compared_in_blocks(spark):
+    """One family of drifting copies, many blocks long, whose neighbours are near and whose ends are not."""
+    r = np.random.default_rng(7)
+    words, texts = [f"w{k}" for k in range(120)], []
+    for k in range(90):
+        words[int(r.integers(0, 120))] = f"new{k}"
+        texts += [" ".join(words)] if k % 9 else []
+    docs = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, copy int, text string").repartition(3)
+    want = first_of_groups([shingles(t) for t in texts])
+    for block in (3, 10, 1000):
+        got = neardup.first_copies(docs, pipeline.SHINGLE, block).collect()
+        assert sorted(x.doc_id for x in got) == want
+
+
 def test_exact_links_connect_what_brute_force_connects():
     r = np.random.default_rng(4)
     for _ in range(30):
