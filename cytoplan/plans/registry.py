@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoplan.operators import features, merge, metrics, neighbors, pseudobulk, qc, trajectory
+from cytoplan.operators import features, merge, metrics, nearindex, neighbors, pseudobulk, qc, trajectory
 from cytoplan.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,6 +193,11 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_nn(spark, sf_dir)[1])
 
 
+@query(f"WITH {KNN} SELECT i, j, rank, round(distance, 6) AS distance FROM nn")
+def knn_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(nearindex.knn_indexed(tables.points(spark, sf_dir).select("id", "v")))
+
+
 @query(f"WITH {KNN} SELECT * FROM edges")
 def knn_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbors.adjacency(_nn(spark, sf_dir)[1])
