@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cytoplan.llm import bpe, decontaminate, htmltext, importance, linedup, quality_rules, simhash, substrings, tokenfile, toxicity
-from cytoplan.llm.common import read
+from cytoplan.llm import bpe, decontaminate, fim, htmltext, importance, linedup, quality_rules, secretscan, simhash, spelling, substrings, tokenfile, toxicity
+from cytoplan.llm.common import read, written
 
 
 def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = written(secretscan.scan(docs), "ledger")
+    return secretscan.digests(secretscan.findings(docs, ledger, "doc_id"), "doc_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.transform(read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -96,6 +110,20 @@ SQL = {
         )
         SELECT d.doc_id, coalesce(n_removed, 0)::INTEGER AS n_removed, sha256(coalesce(l.t, '')) AS text_sha256
         FROM docs d LEFT JOIN left_lines l ON d.doc_id IS NOT DISTINCT FROM l.doc_id AND d.c = l.c""",
+    "op13_fill_in_middle": """
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        drawn AS (
+            SELECT *, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM docs
+        ),
+        cut AS (
+            SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM drawn
+        ),
+        pieces AS (SELECT *, substring(t, 1, a) AS x, substring(t, a + 1, b - a) AS y, substring(t, b + 1) AS z FROM cut)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+            sha256(CASE form WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y WHEN 'spm' THEN '<S>' || z || '<P>' || x || '<M>' || y ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+        FROM pieces""",
 }
 
 
