@@ -4,7 +4,7 @@ samples: pb_sample_id and columns for groups and covariates, a row for each samp
 The design is a small array of the driver; genes are rows of one count for each sample, fitted in batches by tasks. Only sums over
 genes return to the driver: likelihoods on a grid of dispersions, and the moments of the genes' log variances.
 
-The dispersion is common to all genes (the maximum of the adjusted profile likelihood, Cox and Reid 1987, McCarthy et al. 2012); what genes
+Dispersions follow a trend along abundance (maxima of adjusted profile likelihoods, Cox and Reid 1987, McCarthy et al. 2012; see dispersion); what genes
 vary beyond it is their quasi-likelihood variance, moderated by empirical Bayes (Smyth 2004, Lund et al. 2012).
 """
 
@@ -19,13 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplan.functions.settle import settled
-from cytoplan.functions.statistics import digamma, f_tail, inverse_trigamma, log_gamma, natural_basis, spline_knots, trigamma
+from cytoplan.functions.statistics import f_tail, log_gamma, natural_basis, spline_knots
+from cytoplan.operators import dispersion
 from cytoplan.operators.differential import contrast_pairs, interpolated_curves, norm_factors
 from cytoplan.operators.pseudobulk import benjamini_hochberg
 
 MAX_SAMPLES = 5000
-#: Dispersions that the common one is looked for among, as logs.
-GRID = np.log(0.1) + np.log(2) * np.linspace(-10, 6, 33)
 
 
 @dataclass
@@ -127,75 +126,92 @@ def expressed(rows: DataFrame, sizes: np.ndarray, group: list[str] | None = None
     return rows.where(enough & (F.aggregate("y", F.lit(0.0), lambda s, y: s + y) >= min_total - 1e-14))
 
 
-def deviance(y: np.ndarray, mu: np.ndarray, phi: float) -> np.ndarray:
-    """Negative-binomial deviance of each gene."""
+def deviance(y: np.ndarray, mu: np.ndarray, phi: float | np.ndarray) -> np.ndarray:
+    """Negative-binomial deviance of each gene; phi is of all genes, or of each."""
+    phi = np.broadcast_to(np.asarray(phi, float), len(y))[:, None]
+    some = np.maximum(phi, 1e-10)
     first = np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0.0)
-    if phi < 1e-10:
-        return 2 * (first - (y - mu)).sum(1)
-    return 2 * (first - (y + 1 / phi) * np.log((1 + phi * y) / (1 + phi * mu))).sum(1)
+    spread = np.where(phi < 1e-10, y - mu, (y + 1 / some) * np.log((1 + some * y) / (1 + some * mu)))
+    return 2 * (first - spread).sum(1)
 
 
-def fit_means(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: float, rounds: int = 60) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, means and deviances of log-linear models, gene by gene, by scoring with step halving."""
+def fit_means(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: float | np.ndarray, rounds: int = 500, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, means and deviances of log-linear models, gene by gene, by scoring with step halving.
+
+    A gene that has settled is left alone, so no gene's result depends on the others in its batch. Raises if one does not settle.
+    """
+    phi = np.broadcast_to(np.asarray(phi, float), len(y))
     ridge = 1e-9 * np.eye(x.shape[1])
-    rate = (y.sum(1) + 1e-3) / np.exp(offset).sum()
-    beta = np.linalg.lstsq(x, (np.log((y + 0.25) / np.exp(offset) + rate[:, None] * 0.1)).T, rcond=None)[0].T
+    if start is None:
+        rate = (y.sum(1) + 1e-3) / np.exp(offset).sum()
+        start = np.linalg.lstsq(x, (np.log((y + 0.25) / np.exp(offset) + rate[:, None] * 0.1)).T, rcond=None)[0].T
     means = lambda b: np.exp(np.clip(b @ x.T + offset, -40, 40))
+    beta = start.copy()
     mu = means(beta)
     dev = deviance(y, mu, phi)
+    live = np.arange(len(y))
     for _ in range(rounds):
-        w = mu / (1 + phi * mu)
+        if not len(live):
+            break
+        own, f, m, d = y[live], phi[live], mu[live], dev[live]
+        w = m / (1 + f[:, None] * m)
         a = np.einsum("gn,np,nq->gpq", w, x, x, optimize=True) + ridge
-        step = np.linalg.solve(a, np.einsum("gn,np->gp", w * (y - mu) / mu, x)[..., None])[..., 0]
-        step = np.clip(step, -5, 5)
-        moved = beta + step
+        step = np.clip(np.linalg.solve(a, np.einsum("gn,np->gp", w * (own - m) / m, x)[..., None])[..., 0], -5, 5)
+        moved = beta[live] + step
         new_mu = means(moved)
-        new = deviance(y, new_mu, phi)
+        new = deviance(own, new_mu, f)
         for _ in range(8):
-            worse = new > dev + 1e-10
+            worse = new > d + 1e-10
             if not worse.any():
                 break
             step[worse] /= 2
-            moved[worse] = beta[worse] + step[worse]
+            moved[worse] = beta[live][worse] + step[worse]
             new_mu[worse] = means(moved[worse])
-            new[worse] = deviance(y[worse], new_mu[worse], phi)
-        better = new <= dev + 1e-10
-        done = bool(np.all(np.abs(dev - new) < 1e-9 * (np.abs(dev) + 0.1)))
-        beta, mu, dev = np.where(better[:, None], moved, beta), np.where(better[:, None], new_mu, mu), np.where(better, new, dev)
-        if done:
-            break
+            new[worse] = deviance(own[worse], new_mu[worse], f[worse])
+        better = new <= d + 1e-10
+        beta[live[better]], mu[live[better]], dev[live[better]] = moved[better], new_mu[better], new[better]
+        live = live[better & (np.abs(d - new) >= 1e-9 * (np.abs(d) + 0.1))]
+    if len(live):
+        raise RuntimeError(f"the means of {len(live)} genes did not settle in {rounds} rounds")
     return beta, mu, np.maximum(dev, 0)
 
 
-def profile_likelihood(y: np.ndarray, x: np.ndarray, offset: np.ndarray, phi: float) -> np.ndarray:
-    """Log likelihood at the fitted means, less half of the log determinant of the information."""
-    _, mu, _ = fit_means(y, x, offset, phi)
-    r = 1 / phi
-    own = log_gamma(y + r) - log_gamma(np.full_like(y, r)) - log_gamma(y + 1) + y * np.log(mu / (mu + r)) + r * np.log(r / (mu + r))
-    w = mu / (1 + phi * mu)
-    info = np.einsum("gn,np,nq->gpq", w, x, x, optimize=True) + 1e-9 * np.eye(x.shape[1])
-    return own.sum(1) - 0.5 * np.linalg.slogdet(info)[1]
+def profile_likelihood(y: np.ndarray, x: np.ndarray, offset: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """For every gene and log dispersion of the grid: log likelihood at the fitted means, less half of the log determinant of the information."""
+    out, beta = [], None
+    constant = log_gamma(y + 1)
+    for phi in np.exp(grid).tolist():
+        beta, mu, _ = fit_means(y, x, offset, phi, start=beta)
+        r = 1 / phi
+        own = log_gamma(y + r) - log_gamma(np.array(r)) - constant + y * np.log(mu / (mu + r)) + r * np.log(r / (mu + r))
+        w = mu / (1 + phi * mu)
+        info = np.einsum("gn,np,nq->gpq", w, x, x, optimize=True) + 1e-9 * np.eye(x.shape[1])
+        out.append(own.sum(1) - 0.5 * np.linalg.slogdet(info)[1])
+    return np.stack(out, 1)
 
 
 @dataclass
 class Fit:
-    """What all genes share, and genes: gene_id, y (counts), logcpm, variance."""
+    """What all genes share, and genes: gene_id, y (counts), logcpm, dispersion (the trend's), gene_dispersion, variance, prior_df, prior_variance."""
 
     design: Design
     genes: DataFrame
     offset: np.ndarray
     sizes: pd.DataFrame
     dispersion: float
-    prior_df: float
-    prior_variance: float
+    trend: dispersion.Trend
+    prior: dispersion.Prior
 
 
 def _stacked(frame: pd.DataFrame) -> np.ndarray:
     return np.stack([np.asarray(v, float) for v in frame["y"]])
 
 
-def fit_genes(values: DataFrame, design: Design, normalization: str = "tmm", filter_by_expr: bool = True, robust: bool = True) -> Fit:
-    """Library sizes, dispersion, and every gene's variance around the fit. robust: genes of extreme variance do not shape the prior."""
+def fit_genes(values: DataFrame, design: Design, normalization: str = "tmm", filter_by_expr: bool = True, robust: bool = True, abundance_trend: bool = False) -> Fit:
+    """Library sizes, dispersions, and every gene's variance around the fit and its prior.
+
+    robust: genes of extreme variance neither shape the prior nor are drawn to it; abundance_trend: the prior's scale follows abundance.
+    """
     spark = values.sparkSession
     chosen = spark.createDataFrame([(s,) for s in design.samples], "pb_sample_id string")
     own = values.join(F.broadcast(chosen), "pb_sample_id", "left_semi")  # MAX_SAMPLES names
@@ -217,46 +233,36 @@ def fit_genes(values: DataFrame, design: Design, normalization: str = "tmm", fil
     if free < 1:
         raise ValueError("there must be more samples than columns of the design")
 
-    def likelihoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            y = _stacked(frame)
-            yield pd.DataFrame({"k": np.arange(len(GRID)), "l": [float(profile_likelihood(y, x, offset, float(np.exp(g))).sum()) for g in GRID]})
-
-    # A grid for each batch of genes, summed.
-    curve = {r.k: r.l for r in rows.mapInPandas(likelihoods, "k long, l double").groupBy("k").agg(F.sum("l").alias("l")).collect()}
-    heights = np.array([curve[k] for k in range(len(GRID))])
-    top = int(heights.argmax())
-    shift = 0.0
-    if 0 < top < len(GRID) - 1:
-        a, b, c = heights[top - 1 : top + 2]
-        shift = 0.5 * (a - c) / (a - 2 * b + c) if a - 2 * b + c < 0 else 0.0
-    phi = float(np.exp(GRID[top] + shift * (GRID[1] - GRID[0])))
     share = np.exp(offset)
     prior = 2 * share / share.mean()
+    kind = dict(rows.dtypes)["gene_id"]
 
-    def variances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def likelihoods(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             y = _stacked(frame)
-            _, _, dev = fit_means(y, x, offset, phi)
             mean = np.log2(((y + prior) / (share + 2 * prior) * 1e6).mean(1))
-            yield pd.DataFrame({"gene_id": frame["gene_id"], "y": frame["y"], "logcpm": mean, "variance": np.maximum(dev / free, 1e-8)})
+            yield pd.DataFrame({"gene_id": frame["gene_id"], "y": frame["y"], "logcpm": mean, "curve": list(profile_likelihood(y, x, offset, dispersion.GRID))})
 
-    kind = dict(rows.dtypes)["gene_id"]
-    genes = settled(rows.mapInPandas(variances, f"gene_id {kind}, y array<double>, logcpm double, variance double"))
-    log_v = F.log("variance")
-    if robust:
-        low, high = genes.agg(F.percentile(log_v, F.lit(0.05)), F.percentile(log_v, F.lit(0.9))).first()
-        log_v = F.least(F.greatest(log_v, F.lit(low)), F.lit(high))
-    centre = float(digamma(free / 2) - np.log(free / 2))
-    mean, spread = genes.agg(F.avg(log_v - centre), F.var_samp(log_v)).first()
-    beyond = (spread or 0.0) - float(trigamma(free / 2))
-    if beyond > 0:
-        prior_df = 2 * inverse_trigamma(beyond)
-        prior_variance = float(np.exp(mean + digamma(prior_df / 2) - np.log(prior_df / 2)))
-    else:
-        prior_df, prior_variance = float("inf"), float(np.exp(mean))
+    genes = settled(rows.mapInPandas(likelihoods, f"gene_id {kind}, y array<double>, logcpm double, curve array<double>"))
+    common, trend = dispersion.fit_trend(genes)
+
+    def variances(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            phi = trend.at(frame["logcpm"].to_numpy(float))
+            _, _, dev = fit_means(_stacked(frame), x, offset, phi)
+            yield frame.assign(dispersion=phi, variance=np.maximum(dev / free, 1e-8))
+
+    genes = settled(genes.mapInPandas(variances, f"gene_id {kind}, y array<double>, logcpm double, curve array<double>, dispersion double, variance double"))
+    genes, moments = dispersion.with_prior(genes, free, robust, abundance_trend)
+
+    def own_dispersion(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            phi = dispersion.moderated(np.stack(frame["curve"].to_numpy()), frame["logcpm"].to_numpy(float), trend, moments.df / free)
+            yield frame.drop(columns="curve").assign(gene_dispersion=phi)
+
+    genes = settled(genes.mapInPandas(own_dispersion, f"gene_id {kind}, y array<double>, logcpm double, dispersion double, variance double, prior_df double, prior_variance double, gene_dispersion double"))
     sizes = pd.DataFrame({"pb_sample_id": design.samples, "lib_size": lib, "norm_factor": factor})
-    return Fit(design, genes, offset, sizes, phi, prior_df, prior_variance)
+    return Fit(design, genes, offset, sizes, common, trend, moments)
 
 
 def test_contrasts(fit: Fit, contrasts: dict[str, np.ndarray], prior_count: float = 0.125) -> DataFrame:
@@ -264,8 +270,8 @@ def test_contrasts(fit: Fit, contrasts: dict[str, np.ndarray], prior_count: floa
 
     logfc, in base 2, is of the first column, from a fit with prior_count added in proportion to library size.
     """
-    x, offset, phi = fit.design.x, fit.offset, fit.dispersion
-    free, d0, s0 = x.shape[0] - x.shape[1], fit.prior_df, fit.prior_variance
+    x, offset = fit.design.x, fit.offset
+    free = x.shape[0] - x.shape[1]
     share = np.exp(offset)
     add = prior_count * share / share.mean()
     tests = []
@@ -277,11 +283,13 @@ def test_contrasts(fit: Fit, contrasts: dict[str, np.ndarray], prior_count: floa
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            y = _stacked(frame)
+            y, phi = _stacked(frame), frame["dispersion"].to_numpy(float)
             _, _, full = fit_means(y, x, offset, phi)
             beta, _, _ = fit_means(y + add, x, np.log(share + 2 * add), phi)
             variance = frame["variance"].to_numpy()
-            moderate = np.full(len(y), s0) if np.isinf(d0) else (d0 * s0 + free * variance) / (d0 + free)
+            d0, s0 = frame["prior_df"].to_numpy(float), frame["prior_variance"].to_numpy(float)
+            weight = np.where(np.isinf(d0), 1.0, np.where(np.isinf(d0), 0.0, d0) / (np.where(np.isinf(d0), 0.0, d0) + free))
+            moderate = weight * s0 + (1 - weight) * variance
             for name, c, smaller, df in tests:
                 reduced = fit_means(y, smaller, offset, phi)[2] if smaller.shape[1] else deviance(y, np.broadcast_to(share, y.shape), phi)
                 f = np.maximum(reduced - full, 0) / df / moderate
@@ -296,7 +304,7 @@ test_contrasts.__test__ = False  # no test of pytest's
 
 def pairwise_de(
     samples: DataFrame, values: DataFrame, group: str | list[str], covariates: list[str] | None = None, contrasts: str = "reference", reference: str | None = None,
-    manual: list[tuple[str, str]] | None = None, normalization: str = "tmm", filter_by_expr: bool = True, robust: bool = True, fdr_cutoff: float = 0.05,
+    manual: list[tuple[str, str]] | None = None, normalization: str = "tmm", filter_by_expr: bool = True, robust: bool = True, abundance_trend: bool = False, fdr_cutoff: float = 0.05,
 ) -> tuple[DataFrame, Fit]:
     """Table of gene_id, contrast, group1, group2, logfc, logcpm, f, p, fdr and significant; and the fit.
 
@@ -308,7 +316,7 @@ def pairwise_de(
     if contrasts == "manual" and any(g not in design.levels for pair in manual or [] for g in pair):
         raise ValueError("a manual contrast names a group that is not there")
     pairs = contrast_pairs(levels, contrasts, reference, manual).collect()  # pairs of groups of samples
-    fit = fit_genes(values, design, normalization, filter_by_expr, robust)
+    fit = fit_genes(values, design, normalization, filter_by_expr, robust, abundance_trend)
     vectors = {}
     for p in pairs:
         c = np.zeros(design.x.shape[1])
@@ -335,11 +343,11 @@ def fitted_curves(fit: Fit, knots: np.ndarray, time: str, covariates: list[str],
         of = next(c for c in sorted(covariates, key=len, reverse=True) if name.startswith(c))
         value = float(middle[of]) if name == of and not isinstance(middle[of], str) else float(name == f"{of}{middle[of]}")
         cols.append(np.full(grid, value))
-    there, x, offset, phi = np.stack(cols, 1), fit.design.x, fit.offset, fit.dispersion
+    there, x, offset = np.stack(cols, 1), fit.design.x, fit.offset
 
     def along(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            beta, _, _ = fit_means(_stacked(frame), x, offset, phi)
+            beta, _, _ = fit_means(_stacked(frame), x, offset, frame["dispersion"].to_numpy(float))
             value = (beta @ there.T + np.log(1e6)) / np.log(2)
             yield pd.DataFrame({"gene_id": np.repeat(frame["gene_id"].to_numpy(), grid), "time": np.tile(at, len(frame)), "value": value.ravel()})
 
@@ -348,7 +356,7 @@ def fitted_curves(fit: Fit, knots: np.ndarray, time: str, covariates: list[str],
 
 def spline_de(
     samples: DataFrame, values: DataFrame, time: str, condition: str | None = None, covariates: list[str] | None = None, df: int = 3, normalization: str = "tmm",
-    filter_by_expr: bool = True, robust: bool = True, fdr_cutoff: float = 0.05, grid: int = 200,
+    filter_by_expr: bool = True, robust: bool = True, abundance_trend: bool = False, fdr_cutoff: float = 0.05, grid: int = 200,
 ) -> tuple[DataFrame, DataFrame]:
     """(table, curves) of the genes that change along time, condition by condition.
 
@@ -363,7 +371,7 @@ def spline_de(
         if len(own) < max(df + 1, 4) or own[time].nunique() < 3:
             continue
         design, knots = spline_design(own, time, covariates, df)
-        fit = fit_genes(values, design, normalization, filter_by_expr, robust)
+        fit = fit_genes(values, design, normalization, filter_by_expr, robust, abundance_trend)
         c = np.zeros((design.x.shape[1], len(knots) - 1))
         c[np.arange(1, len(knots)), np.arange(len(knots) - 1)] = 1
         tested = settled(test_contrasts(fit, {name: c}).drop("logfc"))

@@ -72,6 +72,14 @@ def pca_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(components.select("component", "share"))
 
 
+@query()
+def truncated_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first ten components of all genes: the sparse way, for cells by genes that fit in no dense vectors."""
+    logs = features.log_normalise(tables.counts(spark, sf_dir))
+    scores, _ = reduction.truncated_pca(tables.count_cells(spark, sf_dir), logs, logs.select("gene_id").distinct(), 10)
+    return rounded(scores.select("cell_id", F.posexplode("embedding").alias("k", "score")).select("cell_id", (F.col("k") + 1).cast("long").alias("component"), F.abs("score").alias("size")), 4)
+
+
 @query()
 def kmeans_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tables.points(spark, sf_dir)

@@ -40,7 +40,7 @@ def with_pca(exp: Experiment, k: int = 30, feature_set: str = "hvg", n: int = 20
         return Experiment(exp.cells, exp.genes, assays, exp.reductions, exp.meta)
     logs = assays["logcounts"].select("cell_id", "gene_id", F.col("value").alias("logcount"))
     genes = settled(features.select_features(logs, exp.genes, exp.cells.count(), feature_set, n))
-    scores, _ = reduction.pca(reduction.cell_vectors(exp.cells, logs, genes), k)
+    scores, _ = reduction.truncated_pca(exp.cells, logs, genes, k)
     return Experiment(exp.cells, exp.genes, assays, exp.reductions | {name: settled(scores)}, exp.meta)
 
 
