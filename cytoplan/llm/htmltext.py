@@ -4,7 +4,8 @@ A page is cut into blocks at block-level tags by one scan, linear in its length.
 show no running text are no blocks.
 
 Pass one grades each block by its density of stop words, its length and its link density: good, bad, or undecided (short, or between
-the bounds). Tags and attributes are evidence beside that. Menus, headers, footers, sidebars, adverts, notices and comments, by element or by a
+the bounds). The stop words are of four languages; a long block with few of them is good, too, if it is made of sentences by its punctuation, and where a page
+has no good block by either, length and link density alone decide, so no language empties a page. Tags and attributes are evidence beside that. Menus, headers, footers, sidebars, adverts, notices and comments, by element or by a
 whole token of class, id or role, make a block bad; if that leaves no good block on a page, this evidence is taken back. An article or main element
 with text keeps blocks in it from being bad for few stop words, and blocks beside it from being good.
 
@@ -48,8 +49,7 @@ OUTSIDE = frozenset("nav footer aside menu header".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = HEADINGS | frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frame frameset head header "
-    "hgroup hr html legend li link main menu meta nav noframes noscript ol optgroup option p pre search section summary table tbody td textarea tfoot th thead title tr ul "
-    "script style template select button".split()
+    "hgroup hr html legend li main menu nav noframes ol p pre search section summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp noembed".split())
@@ -68,6 +68,9 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+
 _PART = re.compile(r"[a-z0-9]+")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+#: Ends of sentences; signs of scripts that put a word or a syllable in one of them.
+_SENTENCE = re.compile(r"[.!?…](?=[\s\"'”’»)]|$)|[。！？।؟]")
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 @dataclass
@@ -77,6 +80,7 @@ class Block:
     heading: bool = False
     marked: bool = False  # in an element whose name or attributes speak against it
     region: int = 0  # the article or main element that it is in, from 1 on
+    tag: str = ""  # the innermost block element
 
 
 class Tags:
@@ -132,7 +136,7 @@ class Tags:
             lower = name[0].lower()
             attributes = page[name.end() : close]
             if lower in RAW and not is_end and not attributes.rstrip().endswith("/"):
-                raw = re.compile(rf"</{re.escape(lower)}\s*>", re.I).search(page, at) if f"</{lower}" not in self.without else None
+                raw = re.compile(rf"</{re.escape(lower)}(?:\s[^>]*|/[^>]*)?>", re.I).search(page, at) if f"</{lower}" not in self.without else None
                 if raw is None:
                     self.without.add(f"</{lower}")
                 text = at = raw.end() if raw else len(page)  # its content is no text of the page
@@ -180,7 +184,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            found.append(Block(text, linked, heading, stack[-1].marked, stack[-1].region))
+            found.append(Block(text, linked, heading, stack[-1].marked, stack[-1].region, innermost()))
         parts.clear()
         linked = 0
 
@@ -249,43 +253,69 @@ def blocks_of(page: str) -> list[Block]:
 GOOD, BAD, OPEN = True, False, None
 
 
+def size_of(b: Block) -> int:
+    """Code points; one of a script that puts more in each counts three."""
+    return len(b.text) + 2 * len(_WIDE.findall(b.text))
+
+
 def grade(b: Block) -> bool | None:
     """Pass one, by density alone."""
-    size = len(b.text)
+    size = size_of(b)
     words = _WORD.findall(b.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-    if b.linked > MAX_LINK_DENSITY * size:
+    if b.linked > MAX_LINK_DENSITY * len(b.text):
         return GOOD if b.region and size >= SHORT and stops >= STOP_HIGH else BAD
     if b.heading or size < SHORT:
         return OPEN
     if stops >= STOP_HIGH and (size > LONG or b.region):
         return GOOD
+    if size > LONG and len(_SENTENCE.findall(b.text)) >= 2:
+        return GOOD
     if stops >= STOP_LOW or b.region:
         return OPEN
     return BAD
 
 
-def labels_of(blocks: list[Block]) -> list[bool]:
-    """Whether each block is kept."""
-    own = [grade(b) for b in blocks]
-    if not any(g is GOOD and not b.marked for g, b in zip(own, blocks, strict=True)) and not any(b.region and not b.marked for b in blocks):
-        marked = [False] * len(blocks)  # the marks leave no article
+def grade_by_length(b: Block, least: int) -> bool | None:
+    """Pass one where neither stop words nor sentences tell anything."""
+    if b.linked > MAX_LINK_DENSITY * len(b.text):
+        return BAD
+    return GOOD if size_of(b) >= least and not b.heading else OPEN
+
+
+def grades_of(blocks: list[Block]) -> tuple[list[bool | None], list[bool]]:
+    """Pass one over a page: the grade of each block by all evidence, and whether a mark made it bad."""
+    kept = [not b.marked for b in blocks]
+    for kept in (kept, [True] * len(blocks)):  # marks that leave no article are taken back
+        for least in (None, LONG, SHORT):
+            own = [grade(b) if least is None else grade_by_length(b, least) for b in blocks]
+            if any((g is GOOD or b.region) and k for g, b, k in zip(own, blocks, kept, strict=True)):
+                break
+        else:
+            continue
+        break
     else:
-        marked = [b.marked for b in blocks]
-    article = any(b.region and not m for b, m in zip(blocks, marked, strict=True))
+        own = [grade(b) for b in blocks]
+    article = any(b.region and k for b, k in zip(blocks, kept, strict=True))
     first: list[bool | None] = []
-    for b, m, g in zip(blocks, marked, own, strict=True):
-        if m:
+    for b, k, g in zip(blocks, kept, own, strict=True):
+        if not k:
             g = BAD
         elif article and not b.region:
             g = OPEN if g is GOOD else BAD
         first.append(g)
-    # A linked line by itself in an article is no list of links.
+    # A linked paragraph in an article is no list of links, nor is a linked line by itself.
     for k, b in enumerate(blocks):
-        if first[k] is BAD and b.region and not marked[k]:
+        if first[k] is BAD and b.region and kept[k]:
             beside = [j for j in (k - 1, k + 1) if 0 <= j < len(blocks) and blocks[j].region == b.region]
-            if not any(blocks[j].linked > MAX_LINK_DENSITY * len(blocks[j].text) for j in beside):
+            if b.tag == "p" or not any(blocks[j].linked > MAX_LINK_DENSITY * len(blocks[j].text) for j in beside):
                 first[k] = OPEN
+    return first, [not k for k in kept]
+
+
+def labels_of(blocks: list[Block]) -> list[bool]:
+    """Whether each block is kept: pass two over the grades of pass one."""
+    first, _ = grades_of(blocks)
     n = len(blocks)
     before, after = [OPEN] * n, [OPEN] * n
     for k in range(1, n):

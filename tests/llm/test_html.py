@@ -50,6 +50,82 @@ def test_odd_markup():
     assert htmltext.main_text("<article>one<script>if (a < b) '</p>'</SCRIPT >two<style>p{}</article>") == "onetwo"
 
 
+@pytest.mark.parametrize("part", ["<script>x()</script>", "<style>p{}</style>", "<template><p>x</p></template>", "<noscript>no</noscript>", "<select><option>1</select>", "<button>Go</button>", "<script>'</p>'</script foo>", "<script>x</script/>", "<meta a=b>", "<link rel=x>"])
+def test_hidden_parts_split_no_block(part):
+    assert htmltext.main_text(f"<article><p>all o{part}f you</p><p>more</p></article>") == "all of you\nmore"
+
+
+POLISH = "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem oraz powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności zawarte w niniejszej deklaracji."
+CHINESE = "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。人人有资格享有本宣言所载的一切权利和自由，不分种族、肤色、性别、语言、宗教、政治或其他见解。" * 2
+
+
+@pytest.mark.parametrize("text", [POLISH, CHINESE, "слово " * 60, "λέξη " * 20], ids=["polish", "chinese", "long", "short"])
+@pytest.mark.parametrize("around", ["", f"<footer><p>{LONG * 2}</p></footer>", f'<div class="cookie-notice"><p>{LONG * 2}</p></div>'], ids=["alone", "footer", "notice"])
+def test_no_language_empties_a_page(text, around):
+    text = text.strip()
+    page = f"<body>{LINKS}<div><h1>{text[:12].strip()}</h1><p>{text}</p><p>{text[:20].strip()}</p><p>{text}</p></div>{LINKS}{around}</body>"
+    assert htmltext.main_text(page).split("\n") == [text[:12].strip(), text, text[:20].strip(), text]
+
+
+def test_mixed_languages_and_linked_paragraphs():
+    assert htmltext.main_text(f"<div><p>{POLISH}</p><p>{LONG * 2}</p><p>{CHINESE}</p></div>{LINKS}").split("\n") == [POLISH, (LONG * 2).strip(), CHINESE]
+    page = f"<article><p>{LONG}</p><p><a href=/a>See this</a></p><p><a href=/b>And that</a></p><p>{LONG}</p>{LINKS}</article>"
+    assert htmltext.main_text(page).split("\n") == [LONG.strip(), "See this", "And that", LONG.strip()]
+
+
+# A second version of both passes, with bounds and lists of its own.
+COMMON = set("the of and to in is that it was for on are as with they be at this have from or by not but what all were when we there can an your which their if do will how about up out then them these so some her would him into has two more no could than been its who now did get may is a i one had you me my our his she he any".split())
+
+
+def plain_labels(blocks):
+    def looks(b):
+        words = re.findall(r"[a-z]+", b.text.lower())
+        share = sum(w in COMMON for w in words) / max(1, len(words))
+        if b.linked * 2 > len(b.text):
+            return "bad"
+        if b.heading or len(b.text) < 70:
+            return "open"
+        return "good" if share >= 0.2 and len(b.text) > 200 else "open" if share >= 0.1 else "bad"
+
+    first = ["bad" if b.marked else looks(b) for b in blocks]
+    out = []
+    for k, b in enumerate(blocks):
+        left = next((x for x in reversed(first[:k]) if x != "open"), None)
+        right = next((x for x in first[k + 1 :] if x != "open"), None)
+        near = [right] if b.heading and right else [x for x in (left, right) if x]
+        out.append(first[k] == "good" or first[k] == "open" and bool(near) and all(x == "good" for x in near))
+    return out
+
+
+def test_passes_against_a_second_version():
+    kinds = [("good", LONG * 2), ("short", "So short."), ("middle", LONG[:100]), ("keys", "alpha beta gamma delta " * 12), ("links", "One two three")]
+    state, seen = 7, set()
+    for _ in range(600):
+        blocks = []
+        for _ in range(9):
+            state = state * 6364136223846793005 + 1442695040888963407 & (1 << 64) - 1
+            kind, text = kinds[(state >> 33) % 5]
+            blocks.append(htmltext.Block(text.strip(), len(text) if kind == "links" else 0, kind == "short" and state >> 45 & 1 == 1, (state >> 50) % 8 == 0))
+        want = plain_labels(blocks)
+        if any(htmltext.grade(b) is htmltext.GOOD and not b.marked for b in blocks):
+            seen.update(zip((b.text for b in blocks), want, strict=True))
+            assert htmltext.labels_of(blocks) == want
+    assert {w for t, w in seen if t == "So short."} == {True, False}
+
+
+def test_empty_table_and_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", f"<article><p>{LONG}</p></article>", "t", 5), (None, None, None, None, None), (1, "u", "", "t", 1)], "page_id long, url string, html string, text string, n_chars int")
+    got = sorted(map(tuple, htmltext.extract(rows).collect()), key=str)
+    assert got == sorted([(1, "u", LONG.strip(), len(LONG.strip())), (None, None, "", 0), (1, "u", "", 0)], key=str)
+    assert htmltext.extract(rows.where("false")).count() == 0
+
+
+OWN_BLOCKS = set("html body div p h1 h2 h3 h4 h5 h6 ul ol li article section main header footer nav aside table tr td th blockquote pre form figure figcaption dl dt dd hr".split())
+OWN_VOID = set("area base br col embed hr img input link meta source track wbr".split())
+OWN_HIDDEN = set("script style noscript form nav aside footer iframe svg button select textarea template title head".split())
+OWN_MARKS = set("ad ads advert advertisement cookie newsletter comments comment share social related sidebar promo notice banner breadcrumb breadcrumbs subscribe menu nav footer".split())
+
+
 class Plain(HTMLParser):
     """The text of the article element alone, block by block, by the standard parser."""
 
@@ -63,17 +139,17 @@ class Plain(HTMLParser):
         self.now = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in htmltext.BLOCKS:
+        if tag in OWN_BLOCKS:
             self.end()
         elif tag == "br":
             self.now.append(" ")
         marks = {w for k, v in attrs if k in ("class", "id") for w in re.split(r"[^a-z]+", v or "")}
-        if tag not in htmltext.VOID and (self.off or tag in htmltext.HIDDEN or tag in ("nav", "aside", "footer") or marks & htmltext.MARKS):
+        if tag not in OWN_VOID and (self.off or tag in OWN_HIDDEN or marks & OWN_MARKS):
             self.off += 1
         self.depth += tag == "article"
 
     def handle_endtag(self, tag):
-        if tag in htmltext.BLOCKS:
+        if tag in OWN_BLOCKS:
             self.end()
         self.off -= self.off > 0
         self.depth -= tag == "article"
