@@ -36,3 +36,15 @@ def value_ranks(df: DataFrame, column: str) -> DataFrame:
     offset = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("range")) if before else F.lit(0)
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return dealt.select("value", "n", (inside + offset).cast("long").alias("below"))
+
+
+def running_sum(df: DataFrame, order: str, ties: list[str], value: str, to: str) -> DataFrame:
+    """df with the sum of a value over all rows up to each, by an order; equal orders go by `ties`."""
+    dealt = df.withColumn("range__", range_of(order, bounds_of(df, order)))
+    sums = {r.range__: r.s for r in dealt.groupBy("range__").agg(F.sum(value).alias("s")).collect()}  # RANGES rows at most
+    before, total = {}, 0.0
+    for r in sorted(sums):
+        before[r], total = total, total + sums[r]
+    offset = F.element_at(F.create_map(*(F.lit(x) for kv in before.items() for x in kv)), F.col("range__")) if before else F.lit(0.0)
+    inside = F.sum(value).over(Window.partitionBy("range__").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return dealt.withColumn(to, inside + offset).drop("range__")

@@ -5,20 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir: computed once, and a lost executor costs nothing.
+def shared_path(spark: SparkSession, name: str = "") -> str:
+    """A new path below the folder that driver and executors share, spark.checkpoint.dir.
 
     Only where neither that setting nor a checkpoint folder is set, and the session is of one machine, a folder of this machine serves.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="cytoplan-")
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}{'-' if name else ''}{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and a lost executor costs nothing."""
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours by an index of pivots, for more points than a comparison of all pairs allows."""
+"""Approximate nearest neighbours by an index of pivots, for more points than a comparison of all pairs allows; and the choice between the two."""
 
 from __future__ import annotations
 
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cytoplan.functions.settle import settled
-from cytoplan.operators.neighbors import BLOCK
+from cytoplan.operators.neighbors import BLOCK, knn
 
 #: Points that share a pivot on average, and pivots at most (they are sent to every task).
 CELL, MAX_PIVOTS = 1000, 4096
+#: Points up to which all pairs are compared where nothing else is asked for.
+EXACT = 20_000
 #: Points whose true neighbours decide how many cells to look into, and the share of these neighbours to find.
 SAMPLE, RECALL = 256, 0.95
 
@@ -116,3 +118,8 @@ def knn_indexed(points: DataFrame, k: int = 15, cell: int = CELL, probes: int |
 
     found = home.union(asks).groupBy("cell", "hb", "qb").applyInPandas(nearest, "i long, j long, distance double")
     return _ranked(found, k).select("i", "j", F.col("rank").cast("long").alias("rank"), "distance")
+
+
+def nearest(points: DataFrame, k: int = 15, exact: int | None = None) -> DataFrame:
+    """(i, j, rank, distance): exact neighbours of up to `exact` points (EXACT if None), else those of the index."""
+    return knn(points, k) if points.count() <= (EXACT if exact is None else exact) else knn_indexed(points, k)

@@ -115,54 +115,6 @@ def cosine_normalised(points: DataFrame, floor: float = 1e-8) -> DataFrame:
     return points.withColumn("size__", F.greatest(size, F.lit(floor))).withColumn("v", F.transform("v", lambda x: x / F.col("size__"))).drop("size__")
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 100, rounds: int = 1000) -> DataFrame:
-    """(id, community): modularity moves made for many vertices at once. vertices: id; edges: a, b, weight (a != b).
-
-    In each round about half of the vertices (by hash) may move to the neighbouring community of largest gain, which keeps
-    neighbours from swapping for ever; of a level's states the one of highest modularity counts, and a level ends when five
-    rounds bring no higher one. Communities become the vertices of the next level, until a level brings no higher modularity; `levels` and
-    `rounds` are safety bounds, beyond which it raises. States are written as tables; only sums reach the driver.
-    """
-    links = settled(edges.select(F.col("a").alias("i"), F.col("b").alias("j"), "weight").union(edges.select("b", "a", "weight")).groupBy("i", "j").agg(F.sum("weight").alias("w")))
-    whole = links.agg(F.sum("w")).first()[0]
-    member = vertices.select("id", F.col("id").alias("community"))
-    if not whole:
-        return vertices.select("id", F.lit(0).cast("long").alias("community"))  # no edges: one cluster
-    nodes = settled(member.select("id"))
-    top = -1.0
-    for _ in range(levels):
-        strength = settled(nodes.join(links.groupBy(F.col("i").alias("id")).agg(F.sum("w").alias("k")), "id", "left").na.fill(0.0, ["k"]))
-        state, best, quality, idle = strength.withColumn("c", F.col("id")), None, -1.0, 0
-        for step in range(rounds):
-            near = settled(links.join(state.select(F.col("id").alias("j"), "c"), "j").groupBy("i", "c").agg(F.sum(F.when(F.col("i") != F.col("j"), F.col("w")).otherwise(0.0)).alias("w"), F.sum("w").alias("all")))
-            total = state.groupBy("c").agg(F.sum("k").alias("total"))
-            inside = near.join(state.select(F.col("id").alias("i"), "c"), ["i", "c"]).agg(F.coalesce(F.sum("all"), F.lit(0.0)).alias("s"))
-            now = inside.crossJoin(total.agg(F.sum(F.col("total") * F.col("total")).alias("q"))).first()
-            q = now["s"] / whole - resolution * now["q"] / whole**2
-            best, quality, idle = (state, q, 0) if q > quality + 1e-9 else (best, quality, idle + 1)
-            if idle == 5:
-                break
-            own = state.select(F.col("id").alias("i"), "k", F.col("c").alias("old"))
-            options = near.select("i", "c", "w").union(state.select(F.col("id"), "c", F.lit(0.0))).groupBy("i", "c").agg(F.sum("w").alias("w")).join(own, "i").join(total, "c")
-            others = F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)
-            gain = F.round(F.col("w") - resolution * F.col("k") * others / whole, 9)
-            pick = options.withColumn("gain", gain).groupBy("i").agg(
-                F.max_by("c", F.struct("gain", -F.col("c"))).alias("c"), F.max("gain").alias("top"), F.max(F.when(F.col("c") == F.col("old"), F.col("gain"))).alias("stay"), F.first("old").alias("old"), F.first("k").alias("k")
-            )
-            wants = (F.col("top") > F.col("stay")) & (F.pmod(F.xxhash64("i", F.lit(step)), F.lit(2)) == 0)
-            state = settled(pick.select(F.col("i").alias("id"), "k", F.when(wants, F.col("c")).otherwise(F.col("old")).alias("c")))
-        else:
-            raise RuntimeError(f"communities did not settle in {rounds} rounds")
-        if quality <= top + 1e-9:
-            return member
-        top = quality
-        member = settled(member.join(best.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community")))
-        named = best.select("id", "c")
-        links = settled(links.join(named.toDF("i", "x"), "i").join(named.toDF("j", "y"), "j").groupBy(F.col("x").alias("i"), F.col("y").alias("j")).agg(F.sum("w").alias("w")))
-        nodes = settled(named.select(F.col("c").alias("id")).distinct())
-    raise RuntimeError(f"communities did not settle in {levels} levels")
-
-
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row with `modularity`. edges: a, b, weight; communities: id, community."""
     named = edges.join(communities.toDF("a", "x"), "a").join(communities.toDF("b", "y"), "b")

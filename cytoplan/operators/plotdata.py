@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cytoplan.operators.differential import natural_spline
+from cytoplan.functions.smoothing import smoothing_spline
 from cytoplan.operators.metrics import category_scores, rank_methods, tradeoff
 from cytoplan.operators.pseudobulk import quantiles_by
 from cytoplan.operators.trends import trend_rows
 
 #: The least positive double: adjusted p values of 0 are drawn there.
 LEAST = 2.2250738585072014e-308
+#: Clusters of a graph whose routes are drawn.
+MAX_NODES = 100_000
 
 
 def reduction_data(cells: DataFrame, reduction: DataFrame, *columns: str, shuffle_seed: int | None = None) -> DataFrame:
@@ -67,16 +69,18 @@ def cluster_links(edges: DataFrame, nodes: DataFrame, scale: float = 3.0) -> Dat
 
 def route_curves(nodes: DataFrame, routes: dict[str, list], points: int = 100) -> DataFrame:
     """(route, step, x, y): ways through the clusters' places, smooth for four clusters or more. A few routes of clusters."""
-    place = {r.cluster: (r.x, r.y) for r in nodes.limit(100_000).collect()}  # a row for each cluster
+    rows = nodes.limit(MAX_NODES + 1).collect()  # a row for each cluster
+    if len(rows) > MAX_NODES:
+        raise ValueError(f"more than {MAX_NODES} clusters")
+    place = {r.cluster: (r.x, r.y) for r in rows}
     parts = []
     for name, way in routes.items():
         at = np.array([place[c] for c in way if c in place], float)
         if len(at) < 2:
             continue
         if len(at) >= 4:
-            t = np.concatenate(([0], np.cumsum(np.maximum(np.linalg.norm(np.diff(at, axis=0), axis=1), 1e-9))))
-            grid = np.linspace(0, t[-1], points)
-            at = np.stack([natural_spline(t, at[:, k], grid) for k in (0, 1)], 1)
+            t = np.arange(len(at), dtype=float)
+            at = np.stack([smoothing_spline(t, at[:, k], at=np.linspace(0, t[-1], points), spar=0.5) for k in (0, 1)], 1)
         parts.append(pd.DataFrame({"route": name, "step": np.arange(len(at)), "x": at[:, 0], "y": at[:, 1]}))
     spark = nodes.sparkSession
     return spark.createDataFrame(pd.concat(parts), "route string, step long, x double, y double") if parts else spark.createDataFrame([], "route string, step long, x double, y double")

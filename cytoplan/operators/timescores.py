@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 from pyspark.sql.window import Window
 
+from cytoplan.functions.ranking import RANGES, range_of
 from cytoplan.functions.settle import settled
 
 
@@ -28,7 +34,7 @@ def average_ranks(df: DataFrame, column: str, to: str) -> DataFrame:
 
 
 def correlation(values: DataFrame, x: str, y: str, method: str = "spearman") -> DataFrame:
-    """One row with `r`: null for a constant column or fewer than two pairs. Kendall is tau-b, counted from distinct pairs."""
+    """One row with `r`: null for a constant column or fewer than two pairs. Kendall is tau-b, its rising pairs counted by merging."""
     own = values.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     if method == "spearman":
         own = average_ranks(average_ranks(own, "x", "rx"), "y", "ry").select(F.col("rx").alias("x"), F.col("ry").alias("y"))
@@ -37,15 +43,66 @@ def correlation(values: DataFrame, x: str, y: str, method: str = "spearman") ->
         return own.agg(F.when(ok, F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y"))).alias("r"))
     if method != "kendall":
         raise ValueError(f"unknown method {method}")
-    n = own.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    s = F.signum(F.col("b.x") - F.col("a.x")) * F.signum(F.col("b.y") - F.col("a.y"))
-    later = (F.col("a.x") < F.col("b.x")) & (F.col("a.y") != F.col("b.y"))
-    net = n.alias("a").join(n.alias("b"), later).agg(F.coalesce(F.sum(s * F.col("a.n") * F.col("b.n")), F.lit(0.0)).alias("net"))
-    tied = lambda c: n.groupBy(c).agg(F.sum("n").alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias(f"t{c}"))
-    all_ = net.crossJoin(tied("x")).crossJoin(tied("y")).crossJoin(n.agg(F.sum("n").alias("m")))  # one row each
-    pairs = F.col("m") * (F.col("m") - 1) / 2
-    size = F.sqrt((pairs - F.col("tx")) * (pairs - F.col("ty")))
-    return all_.select(F.when(size > 0, F.col("net") / size).alias("r"))
+    n = settled(own.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")))
+    tied = lambda *c: n.groupBy(*c).agg(F.sum("n").alias("m")).agg(F.coalesce(F.sum((F.col("m") * (F.col("m") - 1) / 2).cast("decimal(38,0)")), F.lit(0)).alias("t")).first().t
+    m = n.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    pairs, tx, ty, both = m * (m - 1) // 2, int(tied("x")), int(tied("y")), int(tied("x", "y"))
+    size = math.sqrt((pairs - tx) * (pairs - ty))
+    net = 2 * rising_pairs(n) - (pairs - tx - ty + both)
+    return values.sparkSession.createDataFrame([(net / size if size > 0 else None,)], "r double")
+
+
+def rising(first: np.ndarray, second: np.ndarray, n: np.ndarray) -> int:
+    """Sum of n[a] * n[b] over all a, b with first[a] < first[b] and second[a] < second[b], by merging halves of twice the width each time."""
+    order = np.lexsort((-second, first))  # of equal firsts the larger second stands before: such pairs do not rise
+    y, n = second[order], n[order].astype(object if float(n.sum()) ** 2 > 2.0**62 else np.int64)
+    total, width, at = 0, 1, np.arange(len(y))
+    while width < len(y):
+        half, pair = at // width & 1, at // (2 * width)
+        by = np.lexsort((1 - half, y, pair))  # of equal seconds the later half stands before
+        left = np.where(half[by] == 0, n[by], 0)
+        below = np.cumsum(left)
+        start = np.searchsorted(pair[by], pair[by])
+        total += int((np.where(half[by] == 1, n[by], 0) * (below - np.where(start > 0, below[np.maximum(start - 1, 0)], 0))).sum())
+        width *= 2
+    return total
+
+
+def _counter(first: str, second: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def counted(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [str(rising(frame[first].to_numpy(), frame[second].to_numpy(), frame["n"].to_numpy()))]})
+
+    return counted
+
+
+def rising_pairs(n: DataFrame) -> int:
+    """Pairs of rows of which one is larger in x and in y. n: x, y, n, distinct points and their rows.
+
+    x and y are cut into ranges. Pairs in different ranges of both follow from the counts of the grid of ranges, which is of fixed size;
+    those in one range of y but several of x are counted in the task of that range of y; those in one range of x in the task of that range of x. A value that many
+    points share is a range of its own, which holds no such pair and goes to no task.
+    """
+    cuts, alone = {}, {}
+    for c in "xy":
+        got = n.agg(F.percentile_approx(c, [k / RANGES for k in range(1, RANGES + 1)], 20 * RANGES)).first()[0] or []
+        often = {v for v, w in zip(got[:-1], got[1:], strict=True) if v == w}
+        cuts[c] = sorted(set(got) | {float(np.nextafter(v, -np.inf)) for v in often})
+        alone[c] = [cuts[c].index(v) for v in often]
+    placed = settled(n.select("x", "y", "n", range_of("x", cuts["x"]).alias("i"), range_of("y", cuts["y"]).alias("j")))
+    grid = placed.groupBy("i", "j").agg(F.sum("n").alias("n")).toPandas()  # squares of ranges
+    table = np.zeros((len(cuts["x"]) + 1, len(cuts["y"]) + 1), object)
+    for i, j, k in zip(grid.i, grid.j, grid.n, strict=True):
+        table[i, j] = int(k)
+    below = np.zeros_like(table)
+    below[1:, 1:] = table.cumsum(0).cumsum(1)[:-1, :-1]
+    total = int((table * below).sum())
+    # One row for each point: a range of y is asked for pairs in several ranges of x, a range of x for pairs within it.
+    for key, first, second in (("j", "y", "i"), ("i", "x", "y")):
+        rows = placed.where(~F.col(key).isin(alone["y" if key == "j" else "x"])) if alone["y" if key == "j" else "x"] else placed
+
+        got = rows.groupBy(key).applyInPandas(_counter(first, second), "s string").agg(F.sum(F.col("s").cast("decimal(38,0)"))).first()[0]
+        total += int(got or 0)
+    return total
 
 
 def _unit(column: Column, low: Column, high: Column) -> Column:

@@ -8,17 +8,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cytoplan.functions.smoothing import smoothing_spline
 from cytoplan.operators.features import scale_to_unit
 from cytoplan.operators.reduction import kmeans, pca
 
 #: Pseudotimes are told apart to this many digits, so that a gene's curve is fitted on a bounded number of rows.
 DIGITS = 4
+#: Smoothing of the splines that stand in for local fits.
+SPAR = 0.6
 
 
 def local_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray, grid: np.ndarray, span: float = 0.5) -> np.ndarray:
     """Local quadratic regression with tricube weights (Cleveland 1979) of means y, of n cells of total weight w each, at the grid.
 
-    Beyond the data the curve goes on at its end's height; where a local fit is singular, one of lower degree serves.
+    Beyond the data the curve goes on at its end's height; where a local fit is singular, one of lower degree serves. Where no place has a fit, a smoothing spline
+    serves, and the weighted mean where that has none, either.
     """
     wanted = max(1.0, np.floor(min(span, 1.0) * n.sum() + 1e-5))
     out = np.full(len(grid), np.nan)
@@ -35,7 +39,11 @@ def local_curve(x: np.ndarray, y: np.ndarray, w: np.ndarray, n: np.ndarray, grid
                 out[i] = np.linalg.lstsq(a, y * np.sqrt(local), rcond=None)[0][0]
                 break
     some = np.isfinite(out)
-    return np.interp(grid, grid[some], out[some]) if some.any() else np.full(len(grid), np.average(y, weights=w))
+    if some.any():
+        return np.interp(grid, grid[some], out[some])
+    if len(x) >= 4 and np.isfinite(spline := smoothing_spline(x, y, w, at=grid, spar=SPAR)).all():
+        return spline
+    return np.full(len(grid), np.average(y, weights=w))
 
 
 def gene_trends(

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoplan.functions import labels
-from cytoplan.functions.settle import settled
+from cytoplan.functions.settle import settled, shared_path
 from cytoplan.operators import branching, expression, features, ingest, integration, merge, neighbors, plotdata, pseudobulk, qc, trajectory, trends
 from cytoplan.plans import benchmark, tata, workflow
 from cytoplan.plans.registry import _LOG, _PB, _QC, CELLS, COUNTS, POINTS, _metrics, _nn, _pseudobulk, _timed, query, rounded
-from cytoplan.plans.trajectories import _GRAPH, _graph
+from cytoplan.plans.trajectories import _GRAPH, _graph, by_dimension
 from cytoplan.sources import experiment, matrixmarket, tables
 
 _CLASS = "CASE length(gene_id) % 3 WHEN 0 THEN 'rRNA' WHEN 1 THEN 'ribosomal_protein' ELSE 'gene' END"
@@ -234,19 +232,19 @@ def gene_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tables.points(spark, sf_dir)
     cells = points.select("id", "cluster", (F.col("id") % 997 / 996.0).alias("pt"))
     values = points.select("id", F.posexplode("v").alias("k", "value")).select("id", F.concat(F.lit("gene"), F.col("k").cast("string")).alias("gene_id"), "value")
-    return rounded(trends.gene_trends(values, [f"gene{k}" for k in range(64)], cells, _shares(points), grid=25))
+    return rounded(trends.gene_trends(values, [f"gene{k}" for k in range(64)], cells, _shares(points)))
 
 
 @query()
 def integrated_mnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = integration.mutual_nearest(tables.points(spark, sf_dir).select("id", "v", "batch"))
-    return rounded(got.select("id", "batch", F.col("v")[0].alias("first"), F.col("v")[63].alias("last")))
+    return rounded(by_dimension(got, "batch"))
 
 
 @query()
 def integrated_harmony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = integration.soft_clusters(tables.points(spark, sf_dir).select("id", "v", "batch"), rounds=3, inner=2)
-    return rounded(got.select("id", "batch", F.col("v")[0].alias("first"), F.col("v")[63].alias("last")), 4)
+    got = integration.soft_clusters(tables.points(spark, sf_dir).select("id", "v", "batch"))
+    return rounded(by_dimension(got, "batch"), 4)
 
 
 @query()
@@ -258,17 +256,18 @@ def integration_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {COUNTS} SELECT cell_id::VARCHAR AS cell_id, gene_id, value FROM counts")
 def matrix_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The counts written as a Matrix Market folder below the shared folder, and read back."""
+    """The counts written as a Matrix Market folder of parts below the shared folder, and read back."""
     long = settled(tables.counts(spark, sf_dir).select(F.col("cell_id").cast("string").alias("cell_id"), "gene_id", "value"))
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or '/tmp'}/matrix-{uuid.uuid4().hex}".rstrip("/")
-    cells, genes = (long.select(c).distinct().orderBy(c).coalesce(1) for c in ("cell_id", "gene_id"))
+    root = shared_path(spark, "matrix")
+    cells, genes = (long.select(c).distinct().orderBy(c) for c in ("cell_id", "gene_id"))
     cells.write.text(f"{root}/barcodes.tsv")
     genes.select(F.concat_ws("\t", "gene_id", "gene_id", F.lit("Gene Expression"))).write.text(f"{root}/features.tsv")
     rows = matrixmarket.read_table(spark, f"{root}/features.tsv").select(F.col("row").alias("i"), F.col("fields")[0].alias("gene_id"))
     cols = matrixmarket.read_table(spark, f"{root}/barcodes.tsv").select(F.col("row").alias("j"), F.col("fields")[0].alias("cell_id"))
     body = long.join(rows, "gene_id").join(cols, "cell_id").select(F.concat_ws(" ", "i", "j", "value").alias("value"))
     head = spark.createDataFrame([("%%MatrixMarket matrix coordinate real general",), (f"{genes.count()} {cells.count()} {long.count()}",)], "value string").coalesce(1)
-    head.union(body).coalesce(1).write.text(f"{root}/matrix.mtx")
+    head.write.text(f"{root}/matrix.mtx")
+    body.write.mode("append").text(f"{root}/matrix.mtx")
     return experiment.from_matrix_folder(spark, root).assays["counts"]
 
 

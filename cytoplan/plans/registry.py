@@ -339,4 +339,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from cytoplan.plans import expression, extended, trajectories  # noqa: E402, F401  their queries register themselves
+from cytoplan.plans import expression, extended, more, trajectories  # noqa: E402, F401  their queries register themselves

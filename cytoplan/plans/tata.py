@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cytoplan.functions.settle import settled
-from cytoplan.operators import branching, features, neighbors, pseudotime, trajectory, trends
+from cytoplan.operators import branching, features, integration, nearindex, neighbors, pseudotime, trajectory, trends
 
 
 @dataclass
@@ -29,7 +29,7 @@ class Trajectory:
 
 
 def run(
-    points: DataFrame, use_time: bool = True, clusters: str | None = None, k: int = 15, resolution: float = 1.0, alpha: float = 1.0, beta: float = 1.0,
+    points: DataFrame, use_time: bool = True, clusters: str | None = None, k: int = 15, algorithm: str = "louvain", resolution: float = 1.0, alpha: float = 1.0, beta: float = 1.0,
     direction_threshold: float = 0.1, prune_threshold: float = 0.01, time_weight_mode: str = "time_weight", refine: bool = False, min_refine_size: int = 60,
     do_pseudotime: bool = True, root=None, do_branches: bool = True, expected_branches: int | None = None, components: int = 5,
 ) -> Trajectory:
@@ -46,10 +46,10 @@ def run(
     if do_branches and not do_pseudotime:
         raise ValueError("branches need a pseudotime")
     timed = points.select("id", "v", (F.col("time") if use_time else F.lit(None)).cast("double").alias("time"), *([F.col(clusters).cast("string").alias("cluster")] if clusters else []))
-    nn = settled(neighbors.knn(timed.select("id", "v"), int(k)))
+    nn = settled(nearindex.nearest(timed.select("id", "v"), int(k)))
     edges = settled(neighbors.adjacency(nn))
     if not clusters:
-        found = neighbors.louvain(timed.select("id"), neighbors.weighted_graph(nn), resolution)
+        found = integration.found_communities(timed.select("id"), neighbors.weighted_graph(nn), algorithm, None if algorithm == "walktrap" else resolution)
         timed = timed.join(found.select("id", F.concat(F.lit("C"), F.col("community").cast("string")).alias("cluster")), "id")
     timed = settled(timed)
     if refine and use_time:
@@ -74,7 +74,10 @@ def run(
     own = trajectory.cell_pseudotime(timed, pt)
     cells = settled(features.scale_to_unit(timed.join(own.select("id", "pseudotime"), "id"), "pseudotime", "pt"))
     if do_branches:
-        known = {r.cluster: r.pt for r in pt.limit(branching.MAX_EDGES).collect()}  # a row for each cluster
+        rows = pt.limit(branching.MAX_EDGES + 1).collect()  # a row for each cluster
+        if len(rows) > branching.MAX_EDGES:
+            raise ValueError(f"more than {branching.MAX_EDGES} clusters")
+        known = {r.cluster: r.pt for r in rows}
         routes = branching.Routes(graph, out.root)
         ends = sorted(r.cluster for r in pseudotime.terminals(graph, pt, start).collect())
         if expected_branches:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoplan.functions.settle import settled
-from cytoplan.operators import metrics, neighbors, pseudotime, timescores, trajectory
+from cytoplan.operators import communities, metrics, neighbors, pseudotime, timescores, trajectory, walktrap
 from cytoplan.plans.registry import _TIMES, KNN, POINTS, _nn, _timed, query, rounded
 from cytoplan.sources import tables
 
@@ -223,13 +223,18 @@ def method_tradeoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.tradeoff(metrics.category_scores(_methods(spark, sf_dir))))
 
 
+def by_dimension(points: DataFrame, *more: str) -> DataFrame:
+    """id, the other columns, dim (from 1) and value: a row for each coordinate."""
+    return points.select("id", *more, F.posexplode("v").alias("k", "value")).select("id", *more, (F.col("k") + 1).cast("long").alias("dim"), "value")
+
+
 _COSINE = f"{POINTS}, unit AS (SELECT id, batch, list_transform(v, lambda x: x / greatest(sqrt(list_sum(list_transform(v, lambda y: y * y))), 1e-8)) AS v FROM points)"
 
 
-@query(f"WITH {_COSINE} SELECT id, round(v[1], 6) AS first, round(v[64], 6) AS last FROM unit")
+@query(f"WITH {_COSINE} SELECT id, k AS dim, round(v[k], 6) AS value FROM unit, range(1, 65) r(k)")
 def cosine_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     unit = neighbors.cosine_normalised(tables.points(spark, sf_dir).select("id", "v"))
-    return rounded(unit.select("id", F.col("v")[0].alias("first"), F.col("v")[63].alias("last")))
+    return rounded(by_dimension(unit))
 
 
 @query(
@@ -245,7 +250,19 @@ def mutual_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def louvain_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, nn = _nn(spark, sf_dir)
-    return neighbors.louvain(points.select("id"), neighbors.weighted_graph(nn))
+    return communities.communities(points.select("id"), neighbors.weighted_graph(nn))
+
+
+@query()
+def leiden_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    return communities.communities(points.select("id"), neighbors.weighted_graph(nn), method="leiden")
+
+
+@query()
+def walktrap_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points, nn = _nn(spark, sf_dir)
+    return walktrap.walktrap(points.select("id"), neighbors.weighted_graph(nn))
 
 
 @query()

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cytoplan.functions.settle import settled
-from cytoplan.operators import expression, features, integration, pseudobulk, reduction
+from cytoplan.operators import expression, features, integration, pseudobulk, qc, reduction
+from cytoplan.sources import experiment
 from cytoplan.sources.experiment import Experiment
 
 
@@ -44,13 +45,28 @@ def with_pca(exp: Experiment, k: int = 30, feature_set: str = "hvg", n: int = 20
     return Experiment(exp.cells, exp.genes, assays, exp.reductions | {name: settled(scores)}, exp.meta)
 
 
-def unintegrated(exp: Experiment, k: int = 30, neighbours: int = 20, algorithm: str = "louvain", resolution: float = 0.8, column: str = "unintegrated_cluster") -> Experiment:
-    """exp with components, and clusters of them as a column of the cells."""
-    made = with_pca(exp, k)
+def unintegrated(
+    exp: Experiment, k: int = 30, neighbours: int = 20, algorithm: str = "louvain", resolution: float = 0.8, column: str = "unintegrated_cluster", feature_set: str = "hvg", umap: str | None = None,
+) -> Experiment:
+    """exp with components, clusters of them as a column of the cells, and, if `umap` names it, a layout of them."""
+    made = with_pca(exp, k, feature_set)
     named = made.cells.select("cell_id", F.xxhash64("cell_id").alias("id"))
     points = named.join(made.reductions["PCA"], "cell_id").select("id", F.col("embedding").alias("v"))
-    found = named.join(integration.clusters_of(points, neighbours, algorithm, resolution), "id").select("cell_id", F.col("cluster").alias(column))
-    return Experiment(made.cells.join(found, "cell_id", "left"), made.genes, made.assays, made.reductions, made.meta | {"unintegrated": {"k": k, "resolution": resolution}})
+    found = named.join(integration.clusters_of(points, neighbours, algorithm, None if algorithm == "walktrap" else resolution), "id").select("cell_id", F.col("cluster").alias(column))
+    entry = {"k": k, "feature_set": feature_set, "neighbours": neighbours, "algorithm": algorithm, "resolution": resolution, "cluster_column": column, "umap": umap}
+    out = Experiment(made.cells.join(found, "cell_id", "left"), made.genes, made.assays, made.reductions, made.meta | {"unintegrated": entry})
+    return integration.with_layout(out, "PCA", umap) if umap else out
+
+
+def created(spark: SparkSession, x, run_unintegrated: bool = False, min_counts: float | None = None, min_features: int | None = None, unintegrated_options: dict | None = None, **options) -> Experiment:
+    """experiment.create() with preprocessing in one call: cells of enough counts and features, then, if asked for, the unintegrated workflow."""
+    exp = experiment.create(spark, x, **options)
+    if min_counts is not None or min_features is not None:
+        found = qc.qc_metrics(exp.cells.select("cell_id"), exp.assays["counts"])
+        kept = settled(qc.filter_cells(found, min_counts or 0, min_features or 0).select("cell_id"))
+        only = lambda t: t.join(kept, "cell_id", "left_semi")
+        exp = Experiment(only(exp.cells), exp.genes, {n: only(t) for n, t in exp.assays.items()}, {n: only(t) for n, t in exp.reductions.items()}, exp.meta | {"filter": {"min_counts": min_counts, "min_features": min_features}})
+    return unintegrated(exp, **(unintegrated_options or {})) if run_unintegrated else exp
 
 
 def differential(cells: DataFrame, counts: DataFrame, sample_columns: list[str], mode: str = "pairwise", min_cells: int = 10, **options) -> dict[str, DataFrame]:

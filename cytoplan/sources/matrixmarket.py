@@ -28,11 +28,12 @@ def locate(spark: SparkSession, path: str) -> dict[str, str]:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, row): the lines of a file with their place, from 1.
+    """(value, row): the lines of a file, or of a folder of parts in the order of their names, with their place, from 1.
 
-    Counts of the file's blocks give each block's first place, so lines are numbered without bringing them to one task.
+    Counts of the files' blocks give each block's first place, so lines are numbered without bringing them to one task.
     """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", place.alias("block"), F.monotonically_increasing_id().alias("at"))
     blocks = lines.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     start = blocks.select("block", "first", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # a row for each block
     return lines.join(F.broadcast(start), "block").select("value", (F.col("before") + F.col("at") - F.col("first") + 1).alias("row"))
@@ -44,14 +45,17 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_triplets(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, value) of a coordinate matrix; entries of a pattern are 1, repeated places are summed, zeros left out."""
+    """(row, col, value) of a coordinate matrix; entries of a pattern are 1, repeated places are summed, zeros left out.
+
+    path: a file, or a folder of parts, one of which begins with the head.
+    """
     lines = spark.read.text(path)
-    kind = lines.where(F.col("value").startswith("%%MatrixMarket")).limit(1).first()
+    kind = lines.select("value", F.col("_metadata.file_path").alias("file")).where(F.col("value").startswith("%%MatrixMarket")).limit(1).first()
     words = kind["value"].lower().split() if kind else []
     if words[1:3] != ["matrix", "coordinate"] or words[4:5] != ["general"]:
         raise ValueError(f"{path} is not a general coordinate matrix: {' '.join(words)}")
-    # The size is the first line that is no comment.
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # The size is the first line of the head's file that is no comment.
+    place = F.struct((F.col("_metadata.file_path") != kind["file"]).alias("other"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     rows = lines.select("value", place.alias("place")).where(~F.col("value").startswith("%") & (F.trim("value") != ""))
     body = rows.crossJoin(F.broadcast(rows.agg(F.min("place").alias("head")))).where(F.col("place") != F.col("head"))
     parts = F.split(F.trim("value"), r"\s+")

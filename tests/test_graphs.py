@@ -4,7 +4,7 @@ import math
 
 import numpy as np
 
-from cytoplan.operators import neighbors, pseudotime
+from cytoplan.operators import communities, neighbors, pseudotime
 
 EDGES = [  # from, to, weight, ambiguous, consistency
     (1, 2, 2.0, False, 0.8), (2, 3, 1.0, False, 0.5), (1, 3, 0.5, False, 1.0), (3, 4, 1.5, True, 0.1), (4, 3, 1.5, True, 0.1), (2, 5, 0.7, False, 0.9), (6, 5, 0.4, False, 0.6),
@@ -81,11 +81,11 @@ def test_absorption(spark):
 def test_communities(spark):
     pairs = [(g * 6 + i, g * 6 + j) for g in range(4) for i in range(6) for j in range(i)] + [(0, 6), (6, 12), (12, 18)]
     edges = spark.createDataFrame([(min(p), max(p), 1.0) for p in pairs], "a long, b long, weight double").checkpoint()
-    got = neighbors.louvain(spark.range(24), edges)
+    got = communities.communities(spark.range(24), edges)
     groups = {}
     for r in got.collect():
         groups.setdefault(r.community, set()).add(r.id)
     assert sorted(map(sorted, groups.values())) == [list(range(g * 6, g * 6 + 6)) for g in range(4)]
     assert neighbors.modularity(edges, got).first().modularity > 0.6
-    alone = neighbors.louvain(spark.range(3), edges.where("false"))
+    alone = communities.communities(spark.range(3), edges.where("false"))
     assert {r.community for r in alone.collect()} == {0}

@@ -46,7 +46,11 @@ def test_unintegrated_workflow(spark, tmp_path):
     rows = [(f"c{i}", f"g{k}", float(v)) for i in range(60) for k in range(12) if (v := r.poisson(9 if (k < 6) == (i < 30) else 1))]
     counts = spark.createDataFrame(rows, "cell_id string, gene_id string, value double")
     exp = Experiment(counts.select("cell_id").distinct(), counts.select("gene_id").distinct(), {"counts": counts})
-    made = workflow.unintegrated(exp, k=3, neighbours=8, resolution=0.3)
+    made = workflow.created(spark, exp, run_unintegrated=True, min_counts=1, unintegrated_options={"k": 3, "neighbours": 8, "resolution": 0.3, "umap": "picture"})
+    assert made.meta["version"] and made.meta["unintegrated"]["umap"] == "picture" and made.meta["visualization"]["last_umap"]["input_reduction"] == "PCA"
+    picture = made.reductions["picture"].collect()
+    assert len(picture) == 60 and all(len(r.embedding) == 2 for r in picture)
+    assert workflow.created(spark, exp, min_features=10).cells.count() < 60
     side = {}
     for x in made.cells.collect():
         side.setdefault(x.unintegrated_cluster, set()).add(int(x.cell_id[1:]) < 30)
@@ -54,7 +58,7 @@ def test_unintegrated_workflow(spark, tmp_path):
     assert workflow.with_pca(made, 3).reductions["PCA"] is made.reductions["PCA"]
     made.write(str(tmp_path / "parts"))
     again = workflow.from_parts(spark, str(tmp_path / "parts"))
-    assert set(again.assays) == {"counts", "logcounts"} and set(again.reductions) == {"PCA"} and again.assays["counts"].count() == len(rows)
+    assert set(again.assays) == {"counts", "logcounts"} and set(again.reductions) == {"PCA", "picture"} and again.assays["counts"].count() == len(rows)
     with pytest.raises(FileNotFoundError):
         workflow.from_parts(spark, str(tmp_path))
 
