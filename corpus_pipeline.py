@@ -3,7 +3,9 @@
 Quality rules drop rejected documents; line dedup deletes later copies of line runs from the texts; near-dedup keeps the
 document of smallest doc_id of each group of texts whose five-word shingles have Jaccard 0.8 or more; decontamination drops documents that hold a benchmark item; BPE gives the ids.
 
-Defined cases are those of the operators. All but the last stage return the columns of documents, n_chars following
+Defined cases are those of the operators: null and empty texts fail the quality rules; rows of a null doc_id are judged, cut, compared, dropped and encoded each by its own
+text; of near-duplicates the smallest doc_id stays, null last; repeated rows are near-duplicates; very long texts are read whole; empty tables stay empty; other columns pass
+through, whatever their names. All but the last stage return the columns of documents, n_chars following
 text. SQL can't express the stages (hashed models, reachability, edit distance, BPE), so ORACLE_SQL is None; the stages are tested
 against brute force.
 """

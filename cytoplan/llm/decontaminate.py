@@ -4,13 +4,14 @@ Texts and items are compared as word sequences, ASCII lower-cased, with ASCII pu
 words may differ in ``errors(m)`` words (insertions, deletions, replacements). It is split into one piece
 more than that; if some passage of a text is within the budget, at least one piece stands in it unchanged. All piece
 hits are found by hashes on arrays; around each, Myers' bit-parallel algorithm gives the distance of the item to the
-best passage. Items are a stated query set: they are taken in blocks of bounded size, each broadcast for one pass.
+best passage. Items are a stated query set: equal ones are taken once, in blocks of bounded count and bytes, each broadcast for one pass over the texts (an item longer
+than a block is one by itself).
 
 Result: a row for each text and item within the budget, with its distance and the word where the passage ends.
 
 Defined cases: null and empty texts match nothing; items without words are left out; repeated item ids are
-separate items, of which the best match counts; repeated rows of a doc_id are one text each, of which the best match
-counts; an empty table gives an empty result; other columns are not looked at.
+separate items, of which the best match counts; repeated rows of a doc_id, null included, are one text each, of which the best match
+counts (where documents are dropped, each row goes by its own text); of passages at the best distance the first counts; very long texts are read whole, as a piece of their own; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.column import Column
 
 from cytoplan.llm import textbuf
 
 #: Share of an item's words that may differ, for a similarity of 0.8.
 ERROR_SHARE = 0.2
-#: Bounds on one broadcast block.
-BLOCK_ITEMS = 20_000
-SCHEMA = "doc_id long, item_id long, distance int, end_word long"
+#: Bounds on one broadcast block, and times these from which a block is dealt anew.
+BLOCK_ITEMS, BLOCK_BYTES, OVER = 20_000, 1 << 24, 2
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
@@ -73,9 +74,9 @@ def best_end(item: list[int], text: list[int]) -> tuple[int, int]:
 
 
 class Block:
-    """Some items, with their pieces by length."""
+    """Some items by their keys, with their pieces by length."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[bytes], texts: list[str]):
         self.ids, self.items = [], []
         base = 0
         for piece in textbuf.pieces(pa.array(texts, pa.string())):
@@ -140,41 +141,56 @@ def _matched(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Rec
                 ids = batch.column(0)
                 cols = list(zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array([piece.first + r for r in cols[0]])), pa.array([block.ids[k] for k in cols[1]], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())],
-                    names=["doc_id", "item_id", "distance", "end_word"],
+                    [ids.take(pa.array([piece.first + r for r in cols[0]])), pa.array([block.ids[k] for k in cols[1]], pa.binary()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())],
+                    names=["id", "item", "distance", "end_word"],
                 )
 
 
-def item_blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The items in blocks of a bounded count; the driver holds one at a time."""
-    items = benchmark.select(F.col("item_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    n = items.count()
-    blocks = max(1, -(-n // BLOCK_ITEMS) * 2 if n > BLOCK_ITEMS else 1)
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        got = part.toArrow()
-        if len(got):
-            yield Block(got["item_id"].to_pylist(), got["text"].to_pylist())
+def key_of(text: Column) -> Column:
+    """128 bits of a text."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
+def item_blocks(items: DataFrame) -> Iterator[Block]:
+    """Different items (item, text) in blocks of a bounded count and size; the driver holds one at a time."""
+    size = F.sum(F.octet_length("text"))
+    n, bytes_ = items.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    todo = [(max(1, -(-n // BLOCK_ITEMS), -(-bytes_ // BLOCK_BYTES)), None)]
+    while todo:
+        many, within = todo.pop()
+        part = F.pmod(F.xxhash64("item"), F.lit(many))
+        rows = items if within is None else items.where(F.pmod(F.xxhash64("item"), F.lit(within[0])) == within[1])
+        for k, count, total in rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)), size).orderBy("part").collect():  # a row for each block
+            if count > 1 and (count > OVER * BLOCK_ITEMS or total > OVER * BLOCK_BYTES):
+                todo.append((many * 5, (many, k)))
+                continue
+            got = rows.where(part == k).toArrow()
+            yield Block(got["item"].to_pylist(), got["text"].to_pylist())
+
+
+def passages(texts: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, item, distance, end_word) of every text and different item within the item's budget; and the items: item, item_id. texts: id, text."""
+    spark = texts.sparkSession
+    items = benchmark.select(F.col("item_id").cast("long"), key_of(F.col("text")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = f"id {dict(texts.dtypes)['id']}, item binary, distance int, end_word long"
+    found = []
+    for block in item_blocks(items.groupBy("item").agg(F.first("text").alias("text"))):
+        shared = spark.sparkContext.broadcast(block)
+        found.append(texts.select("id", F.col("text").cast("string")).mapInArrow(lambda b, s=shared: _matched(b, s.value), schema))
+    return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema), items.select("item", "item_id")
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance, end_word) of every text and item within the item's budget."""
-    spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = []
-    for block in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-        found.append(docs.mapInArrow(lambda b, s=shared: _matched(b, s.value), SCHEMA))
-    if not found:
-        return spark.createDataFrame([], SCHEMA)
-    rows = reduce(DataFrame.unionAll, found)
-    best = rows.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "end_word")).alias("m"))
+    rows, items = passages(documents.select(F.col("doc_id").cast("long").alias("id"), "text"), benchmark)
+    best = rows.groupBy("id", "item").agg(F.min(F.struct("distance", "end_word")).alias("m"))
+    best = best.join(items, "item").groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.min("m").alias("m"))
     return best.select("doc_id", "item_id", "m.distance", "m.end_word")
 
 
 def without_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item is found in."""
-    # By a hash of the text: null and repeated doc_ids need no key of their own.
-    key = F.xxhash64(documents.text)
-    bad = contamination(documents.select(key.alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("found")).distinct()
+    # By the text: null and repeated doc_ids need no key of their own.
+    key = key_of(documents.text)
+    bad = passages(documents.select(key.alias("id"), "text"), benchmark)[0].select(F.col("id").alias("found")).distinct()
     return documents.join(bad, key == bad.found, "left_anti").select([documents[c] for c in documents.columns])

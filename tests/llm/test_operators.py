@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from cytoplan.llm import bpe, decontaminate, htmltext, importance, linedup, quality_rules, simhash, substrings, tokenfile, toxicity
+from cytoplan.llm import bpe, decontaminate, htmltext, importance, linedup, ngrams, quality_rules, simhash, substrings, textbuf, tokenfile, toxicity
 
 SCHEMA = "doc_id long, text string, row int, words string, copy int, lang string"
 
@@ -218,6 +218,25 @@ def test_decontamination_matches_brute_force(spark, none):
     assert decontaminate.contamination(d, b.limit(0)).count() == 0 and decontaminate.contamination(none, b).count() == 0
 
 
+def test_benchmark_blocks_copies_and_awkward_rows(spark, monkeypatch):
+    item, other, long = prose(61, 25), prose(62, 25), prose(63, 3000, 5000)
+    texts = [(1, f"x {item} y"), (1, prose(64, 30)), (None, f"{other}"), (None, "clean"), (2, None), (3, f"{prose(65, 2000)} {long} {prose(66, 20_000)}"), (4, f"x {item} y")]
+    docs = spark.createDataFrame([(i, t, 1, "w", 3) for i, t in texts], "doc_id long, text string, item_id long, distance string, end_word int")
+    items = spark.createDataFrame([(7, item), (8, item), (8, prose(67, 25)), (9, other), (10, long), (11, None), (None, other)], "item_id long, text string")
+    want = {(1, 7, 0), (1, 8, 0), (None, 9, 0), (None, None, 0), (3, 10, 0), (4, 7, 0), (4, 8, 0)}
+    seen = []
+    for most, size in ((20_000, 1 << 24), (2, 1 << 24), (20_000, 300)):
+        monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", most)
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = sorted(map(tuple, decontaminate.contamination(docs, items).collect()), key=str)
+        assert {r[:3] for r in got} == want and len(got) == len(want)
+        seen.append(got)
+        kept = decontaminate.without_contaminated(docs, items)
+        assert kept.columns == docs.columns and sorted((str(r.doc_id), str(r.text)[:5]) for r in kept.collect()) == sorted([("1", texts[1][1][:5]), ("None", "clean"), ("2", "None")])
+    assert seen[0] == seen[1] == seen[2]
+    assert decontaminate.without_contaminated(docs, items.where("false")).count() == 7
+
+
 def test_html_blocks():
     page = """<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><a href=/>Home</a></nav>
     <div class="cookie-notice">We use cookies to make this site work for all of you.</div><article><h1>A &amp; B</h1><p>The first   paragraph of the
@@ -248,11 +267,52 @@ def test_toxicity_learns_misspellings(spark):
     held = [(got[i].score, y) for i, _, y in rows if zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
     auc = np.mean([a > b for a, y in held if y for b, z in held if not z])
-    assert auc > 0.9 and len(got) == 603 and got[9000].score == got[9001].score
+    assert auc > 0.9 and len(got) == 603
+    learned = [y for i, _, y in rows if zlib.crc32(str(i).encode()) % 5]
+    assert got[9000].score == got[9001].score == pytest.approx(np.mean(learned)) and got[9000].predicted == 0
     assert got[9002].score > np.median([x.score for x in got.values()])
     assert all(x.predicted == int(x.score >= 0.5) for x in got.values())
 
 
+def plain_scores(model, texts):
+    """The averages word by word: n-grams of the marked word and the word itself, then the words' weighted mean."""
+    out = []
+    for t in texts:
+        total = weight = 0.0
+        for w in words((t or "").encode().lower().decode()):
+            raw = f"<{w}>".encode()
+            piece = textbuf.Piece(0, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+            keys = [int(textbuf.word_hashes(piece, np.array([0]), np.array([len(raw)]))[0])]
+            keys += [int(textbuf.mix(np.array([int.from_bytes(raw[k : k + n], "little") | n << 56], np.uint64))[0]) for n in (3, 4, 5) for k in range(len(raw) - n + 1)]
+            own = textbuf.Piece(0, np.frombuffer(raw[1:-1], np.uint8), np.array([0, len(raw) - 2]))
+            h = textbuf.word_hashes(own, np.array([0]), np.array([len(raw) - 2]))[0]
+            share = dict(zip(model.common.tolist(), model.share.tolist(), strict=True)).get(int(h), 0.0)
+            part = toxicity.RARE / (toxicity.RARE + share)
+            total += part * np.mean([model.weights[k % toxicity.BUCKETS] for k in keys])
+            weight += part
+        out.append(1 / (1 + np.exp(-(total / weight + model.bias))) if weight else model.empty)
+    return out
+
+
+def test_toxicity_scores_are_the_plain_averages(spark):
+    texts = [f"{prose(k, 30, 60)} {'vile' if k % 3 == 0 else 'kind'} It's é日 A" for k in range(60)]
+    model = toxicity.fit(texts, np.array([float(k % 3 == 0) for k in range(60)], np.float32))
+    more = [*texts[:6], None, "", " \n", "unseenword", "x", "vilest " * 3000, prose(9, 4000)]
+    docs = spark.createDataFrame([(None if k == 2 else k, t, 1.0, 2) for k, t in enumerate(more)], "doc_id long, text string, score double, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    want = plain_scores(model, more)
+    assert np.allclose([got[None if k == 2 else k] for k in range(len(more))], want, atol=1e-5)
+
+
+def test_toxicity_of_null_ids_and_empty_tables(spark):
+    rows = [(None, "one text"), (None, None), (1, "vile text"), (2, "kind text"), (3, "kind words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(None, 1), (1, 1), (2, 0), (3, 0)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 5 and all(not r.held_out and 0 <= r.score <= 1 for r in got if r.doc_id is None)
+    assert toxicity.toxicity(docs.where("false"), labels).count() == 0 and toxicity.toxicity(docs, labels.where("false")).count() == 5
+
+
 def test_toxicity_without_labels(docs, spark, texts):
     got = toxicity.toxicity(docs, spark.createDataFrame([(1, None)], "doc_id long, toxic int")).collect()
     assert len(got) == len(texts) and {x.score for x in got} == {0.5}
@@ -287,5 +347,8 @@ def test_resampling_takes_the_highest_keys(spark, none):
     assert {r.doc_id for r in got} == {r.doc_id for r in scored[:46]}
     assert sum(r.doc_id % 3 == 0 for r in got) < 5
     assert importance.resample(none, labels).count() == 0
+    same = spark.createDataFrame([(None, prose(i, 60, 50)) for i in range(40)] + [(None, None)], "doc_id long, text string")
+    noise = {round(r.key / ngrams.SCALE - r.log_weight, 4) for r in importance.scores(same, ratios).collect()}
+    assert len(noise) == 41
     for k in (1, 7, 92):
         assert importance.kth_highest(importance.scores(docs, ratios), k, bits=3) == scored[k - 1].key
