@@ -13,9 +13,9 @@ first model has not seen, by the best F1 at 0.5; the model itself is trained on
 Training holds the words of the texts as hashes and one batch's n-grams at a time, so memory is bounded by a batch beside the tables.
 As averages are linear, a trained model is one number for each bucket, and one for each common word; scoring streams whole texts past it.
 
-Defined cases: null and empty texts have the score of the bias alone; rows with a null label are not learned from;
+Defined cases: null texts, empty ones and those without a word have the share of toxic labels in training as their score; rows with a null label or doc_id are not learned from;
 a doc_id labelled twice counts as toxic if one label says so; with no label, or labels of one class, every score is
-the share of toxic labels (0.5 if none); repeated rows are scored each, and of several texts of one labelled doc_id the first
+the share of toxic labels (0.5 if none); a null doc_id is not held out; repeated rows are scored each, and of several texts of one labelled doc_id the first
 in order is learned from; very long texts are read whole, in scoring as a piece of their own; of more than MAX_TRAIN_BYTES of
 training text, the texts that would go beyond are left out of training; an empty table gives an empty
 result; other columns are not looked at.
@@ -46,6 +46,7 @@ FOLDS = 5
 class Model:
     weights: np.ndarray  # of each bucket: its vector times the softmax, toxic minus not
     bias: float
+    empty: float = 0.5  # the score of texts without words
     common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # hashes, ascending
     share: np.ndarray = field(default_factory=lambda: np.zeros(0))  # of the training words
 
@@ -154,7 +155,7 @@ def shares(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _descend(batches: list[_Batch], wants: list[np.ndarray], epochs: int, decay: float, seed: int) -> tuple[np.ndarray, float]:
     """Adam on the mean cross-entropy of both classes, each with half of the weight."""
     rng = np.random.default_rng(seed)
-    share = float(np.concatenate(wants).mean())
+    share = min(max(float(np.concatenate(wants).mean()), 1e-6), 1 - 1e-6)
     p = [np.zeros((BUCKETS, DIM), np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)]
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     order = np.concatenate([rng.permutation(len(batches)) for _ in range(epochs)])
@@ -193,17 +194,18 @@ def best_cut(z: np.ndarray, toxic: np.ndarray) -> float:
 def fit(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, decay: float = DECAY, seed: int = 7) -> Model:
     share = float(toxic.mean()) if len(toxic) else 0.5
     if share in (0.0, 1.0) or len(toxic) == 0:
-        return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -13, 13)))
+        return Model(np.zeros(BUCKETS, np.float32), float(np.clip(np.log(max(share, 1e-6) / max(1 - share, 1e-6)), -13, 13)), share)
     common, part = shares(texts)
     order = np.random.default_rng(seed).permutation(len(texts))
     size = max(16, min(BATCH, len(texts) // 20))  # few texts take as many steps as many
+    size = max(1, min(size, len(texts) // FOLDS))
     chosen = [order[k : k + size] for k in range(0, len(order), size)]
     batches, wants = [_Batch([texts[i] for i in c], common, part) for c in chosen], [toxic[c].astype(np.float32) for c in chosen]
     kept, tried = [k for k in range(len(chosen)) if k % FOLDS], [k for k in range(len(chosen)) if k % FOLDS == 0]
     weights, bias = _descend([batches[k] for k in kept], [wants[k] for k in kept], epochs, decay, seed)
     cut = best_cut(_logits([batches[k] for k in tried], weights, bias), np.concatenate([wants[k] for k in tried]))
     weights, bias = _descend(batches, wants, epochs, decay, seed)
-    return Model(weights, bias - cut, common, part)
+    return Model(weights, bias - cut, share, common, part)
 
 
 def train(documents: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
@@ -230,7 +232,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
             weight = weight_of(h, model.common, model.share)
             row = np.repeat(np.arange(len(piece)), np.diff(first))
             z = np.bincount(row, (value * weight)[place], len(piece)) / np.maximum(np.bincount(row, weight[place], len(piece)), 1e-12) + model.bias
-            score = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            score = np.where(np.diff(first) > 0, 1 / (1 + np.exp(-np.clip(z, -500, 500))), model.empty)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(score)], names=["doc_id", "score"])
 
 
