@@ -8,7 +8,7 @@ The ids are those of the public tokenizers library for a byte-level BPE file: sp
 found first, then the text is split into pretokens. Ids are held as little-endian unsigned 32-bit integers.
 
 Defined cases: null and empty texts have no ids and decode to ""; every row is encoded by itself, so repeated
-rows repeat; an empty table gives an empty result; ids that are not valid UTF-8 together decode with U+FFFD,
+rows repeat; very long texts are encoded whole, as a piece of their own; a null doc_id stays null; an empty table gives an empty result; ids that are not valid UTF-8 together decode with U+FFFD,
 as the library does; columns other than doc_id and text are not looked at.
 """
 

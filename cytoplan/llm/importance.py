@@ -6,10 +6,10 @@ keeping the k highest samples k texts without replacement, in proportion to thei
 k-th highest value is found by counting values in ever finer bins, so no global sort and no
 large limit is needed.
 
-The noise comes from a hash of doc_id and seed: a rerun, or a lost executor, gives the same sample.
+The noise comes from a hash of doc_id and seed (of the text and seed, where doc_id is null): a rerun, or a lost executor, gives the same sample.
 
 Defined cases: null and empty texts have the weight 0 of an empty product minus ``EMPTY_PENALTY``, so they come
-last; repeated rows are rows of their own; ties at the k-th value are all kept; an empty table gives an
+last; repeated rows are rows of their own, but those of one doc_id share their noise, and so do equal texts of a null doc_id; very long texts are read whole; ties at the k-th value are all kept; an empty table gives an
 empty result; columns other than doc_id and text are not looked at.
 """
 
@@ -27,12 +27,12 @@ KEEP_SHARE, SEED, EMPTY_PENALTY = 0.8, 11, 1 << 40
 
 def scores(documents: DataFrame, ratios: list[int], seed: int = SEED) -> DataFrame:
     """doc_id, log_weight and key: the noisy log weight in whole multiples of 2**-20."""
-    docs = documents.select("doc_id", words_of(F.col("text")).alias("words"))
-    bins = docs.select("doc_id", F.size("words").alias("n"), ngrams.buckets_of(F.col("words")).alias("bins"))
+    docs = documents.select("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), "text")).otherwise(F.xxhash64(F.lit(seed), "doc_id")).alias("draw"), words_of(F.col("text")).alias("words"))
+    bins = docs.select("doc_id", "draw", F.size("words").alias("n"), ngrams.buckets_of(F.col("words")).alias("bins"))
     total = ngrams.ratio_sum(F.col("bins"), ratios) - F.when(F.col("n") == 0, F.lit(EMPTY_PENALTY)).otherwise(F.lit(0))
-    out = bins.select("doc_id", total.alias("total"))
+    out = bins.select("doc_id", "draw", total.alias("total"))
     # A hash as a number strictly between 0 and 1.
-    u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    u = (F.pmod(F.col("draw"), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
     noise = F.round(-F.log(-F.log(u)) * ngrams.SCALE).cast("long")
     return out.select("doc_id", (F.col("total") / ngrams.SCALE).alias("log_weight"), (F.col("total") + noise).alias("key"))
 

@@ -12,7 +12,7 @@
 5. Components of the exact links. Of each, the row of smallest doc_id stays.
 
 Defined cases: texts without words (null or blank) are one point that is near nothing else; a null doc_id comes last in the order; rows of
-one doc_id are told apart by their copy numbers; an empty table gives an empty result.
+one doc_id are told apart by their copy numbers; very long texts are compared whole, and a task holds the shingle sets of two blocks; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -6,7 +6,7 @@ functions only. Counting for the raw model covers every text; the target model i
 ``max_trusted`` labelled rows, chosen by a hash of doc_id.
 
 Defined cases: a null or blank text has no words, all counts 0 and fails the base rule; repeated rows
-are judged each by itself; an empty documents table gives an empty result; without trusted rows the
+are judged each by itself, those of a null doc_id, too; very long texts are read whole; an empty documents table gives an empty result; without trusted rows the
 target model is uniform; columns of documents other than doc_id and text are not looked at.
 """
 
