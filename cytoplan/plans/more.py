@@ -13,12 +13,12 @@ from cytoplan.sources import tables
 
 
 @query(
-    """WITH n AS (SELECT p_partkey AS position, CASE WHEN p_partkey % 7 = 0 THEN p_mfgr ELSE p_brand END AS name FROM part)
+    """WITH n AS (SELECT p_partkey AS position, CASE WHEN p_partkey % 7 = 0 THEN p_type ELSE p_brand END AS name FROM part)
 SELECT position, name || CASE WHEN row_number() OVER w > 1 THEN '.' || (row_number() OVER w - 1) ELSE '' END AS feature FROM n WINDOW w AS (PARTITION BY name ORDER BY position)"""
 )
 def feature_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.read(spark, sf_dir, "part")
-    genes = p.select(F.col("p_partkey").alias("position"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).otherwise(" ").alias("gene_name"), F.lit(None).cast("string").alias("Symbol"), F.col("p_mfgr").alias("maker"))
+    genes = p.select(F.col("p_partkey").alias("position"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).otherwise(" ").alias("gene_name"), F.lit(None).cast("string").alias("Symbol"), F.col("p_type").alias("maker"))
     return ingest.feature_names(genes, "position", current="maker").select("position", "feature")
 
 
