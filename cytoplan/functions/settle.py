@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a few columns that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_path(spark: SparkSession, name: str = "") -> str:
@@ -25,4 +29,24 @@ def settled(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: computed once, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes tables of settled() that no later step reads: rounds of an iteration leave none behind."""
+    for df in tables:
+        if path := getattr(df, "_settled_at", None):
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            df._settled_at = None
+
+
+def small(df: DataFrame, what: str = "rows") -> DataFrame:
+    """df as a table to broadcast, behind a check of its size."""
+    out = settled(df)
+    if out.count() > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} {what}")
+    return F.broadcast(out)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cytoplan.functions.settle import small
 from cytoplan.operators.pseudobulk import library_sizes
 
 
@@ -32,7 +33,7 @@ def contrast_pairs(levels: DataFrame, kind: str = "reference", reference: str |
 
 def _grid(values: DataFrame) -> DataFrame:
     """Every gene of every sample, with the library size; samples are few."""
-    found = values.select("gene_id").distinct().crossJoin(F.broadcast(library_sizes(values)))
+    found = values.select("gene_id").distinct().crossJoin(small(library_sizes(values), "samples"))
     return found.join(values, ["pb_sample_id", "gene_id"], "left").na.fill(0.0, ["value"])
 
 
@@ -80,7 +81,7 @@ def norm_factors(values: DataFrame, method: str = "tmm", trim_m: float = 0.3, tr
 def normalised_log_cpm(values: DataFrame, factors: DataFrame, prior_count: float = 2.0) -> DataFrame:
     """log2 counts per million of library sizes times factors."""
     sizes = factors.select("pb_sample_id", (F.col("lib_size") * F.col("norm_factor")).alias("size"))
-    full = _grid(values).join(F.broadcast(sizes.crossJoin(F.broadcast(sizes.agg(F.avg("size").alias("mean"))))), "pb_sample_id")
+    full = _grid(values).join(sizes.crossJoin(F.broadcast(sizes.agg(F.avg("size").alias("mean")))), "pb_sample_id")  # one row
     prior = prior_count * F.col("size") / F.col("mean")
     return full.select("pb_sample_id", "gene_id", F.log2((F.col("value") + prior) / (F.col("size") + 2 * prior) * 1e6).alias("logcpm"))
 

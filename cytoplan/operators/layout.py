@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cytoplan.functions.settle import settled
+from cytoplan.functions.settle import forget, settled
 from cytoplan.operators import nearindex, neighbors
 
 #: Points of a block; places that stand for all others.
@@ -144,7 +144,8 @@ def umap(points: DataFrame, start: DataFrame, k: int = 30, min_dist: float = 0.3
 
         far = pairs.join(now.withColumnRenamed("id", "j"), "j").select("block", "i", "j", "w", "x", "y", F.lit(0).alias("own"))
         own = now.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("w"), "x", "y", F.lit(1).alias("own"))
-        now = settled(far.unionByName(own).groupBy("block").applyInPandas(_drawer(others, a, b, rates, negatives, [seed, step]), "id long, x double, y double"))
+        last, now = now, settled(far.unionByName(own).groupBy("block").applyInPandas(_drawer(others, a, b, rates, negatives, [seed, step]), "id long, x double, y double"))
+        forget(last)
     return now
 
 

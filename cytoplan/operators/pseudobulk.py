@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cytoplan.functions.settle import small
+
 
 def pseudobulk(cells: DataFrame, counts: DataFrame, keys: list[str], how: str = "sum", min_cells: int = 1, prefix: str = "pb_", check: bool = True) -> tuple[DataFrame, DataFrame]:
     """(samples, values): groups of complete-case cells, named in the order of their keys, and gene totals (or means) of each."""
@@ -35,7 +37,7 @@ def log_cpm(values: DataFrame, prior_count: float = 2.0) -> DataFrame:
     """log2 counts per million with a prior in proportion to library size; every gene of every sample has a value."""
     sizes = library_sizes(values)
     mean = sizes.agg(F.avg("lib_size").alias("mean_size"))
-    grid = values.select("gene_id").distinct().crossJoin(F.broadcast(sizes.crossJoin(mean)))  # samples are few
+    grid = values.select("gene_id").distinct().crossJoin(small(sizes.crossJoin(mean), "samples"))
     full = grid.join(values, ["pb_sample_id", "gene_id"], "left").na.fill(0.0, ["value"])
     prior = prior_count * F.col("lib_size") / F.col("mean_size")
     return full.select("pb_sample_id", "gene_id", F.log2((F.col("value") + prior) / (F.col("lib_size") + 2 * prior) * 1e6).alias("logcpm"))
@@ -57,7 +59,7 @@ def quantiles_by(df: DataFrame, keys: list[str], column: str) -> DataFrame:
 
 def normalised_crosstab(df: DataFrame, truth: str, predicted: str, by: str = "row") -> DataFrame:
     """Counts of all combinations of levels, and their share of the truth's row, of the predicted column, or (by="none") the count itself."""
-    levels = df.select(truth).distinct().crossJoin(F.broadcast(df.select(predicted).distinct()))  # level lists
+    levels = df.select(truth).distinct().crossJoin(small(df.select(predicted).distinct(), "levels"))
     full = levels.join(df.groupBy(truth, predicted).agg(F.count(F.lit(1)).alias("n")), [truth, predicted], "left").na.fill(0, ["n"])
     if by == "none":
         return full.withColumn("share", F.col("n").cast("double"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cytoplan.functions.settle import small
 from cytoplan.functions.smoothing import smoothing_spline
 from cytoplan.operators.features import scale_to_unit
 from cytoplan.operators.reduction import kmeans, pca
@@ -61,7 +62,7 @@ def gene_trends(
     member = cells.where("pt is not null and not isnan(pt)").join(probabilities.select("cluster", "branch", "p"), "cluster").where(F.col("p") >= minimum).select("id", "branch", "p", bin_.alias("pt"))
     bins = member.groupBy("branch", "pt").agg(F.sum("p").alias("w"), F.count(F.lit(1)).alias("n"))
     sums = own.join(member, "id").groupBy("gene_id", "branch", "pt").agg(F.sum(F.col("p") * F.col("value")).alias("wy"))
-    full = bins.crossJoin(F.broadcast(found)).join(sums, ["gene_id", "branch", "pt"], "left").na.fill(0.0, ["wy"])
+    full = bins.crossJoin(small(found, "genes")).join(sums, ["gene_id", "branch", "pt"], "left").na.fill(0.0, ["wy"])
     at = np.linspace(0, 1, grid)
 
     def fit(frame: pd.DataFrame) -> pd.DataFrame:

@@ -205,8 +205,7 @@ def time_of_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SPLIT = "sp AS (SELECT id, cluster::VARCHAR AS cluster, (CASE WHEN cluster < 5 THEN id % 2 * 8 + id % 3 ELSE id % 9 END)::DOUBLE AS time FROM points)"
 
 
-@query(
-    f"""WITH {POINTS}, {_SPLIT}, g AS (SELECT time - lag(time) OVER (ORDER BY time) AS g FROM (SELECT DISTINCT time FROM sp)), step AS (SELECT coalesce(median(g), 1) AS step FROM g WHERE g > 0),
+_REFINED = f"""WITH {POINTS}, {_SPLIT}, g AS (SELECT time - lag(time) OVER (ORDER BY time) AS g FROM (SELECT DISTINCT time FROM sp)), step AS (SELECT coalesce(median(g), 1) AS step FROM g WHERE g > 0),
 wide AS (SELECT cluster FROM sp GROUP BY 1 HAVING count(*) >= 6 AND quantile_cont(time, 0.75) - quantile_cont(time, 0.25) >= (SELECT step FROM step)),
 cut AS (SELECT a.cluster, a.time AS cut, count(*) FILTER (b.time <= a.time) AS n1, count(*) AS n, sum(b.time) FILTER (b.time <= a.time) AS s1, sum(b.time) AS s, sum(b.time ** 2) AS q FROM (SELECT DISTINCT cluster, time FROM sp) a JOIN sp b USING (cluster) GROUP BY 1, 2 HAVING n1 < n),
 sc AS (SELECT cluster, cut, s1 ** 2 / n1 + (s - s1) ** 2 / (n - n1) - s ** 2 / n AS between_ss, q - s ** 2 / n AS total, least(n1, n - n1) / n AS share, (s - s1) / (n - n1) - s1 / n1 AS gap FROM cut),
@@ -214,13 +213,31 @@ best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY cluster ORDER
 kept AS (SELECT cluster, cut FROM best JOIN wide USING (cluster) WHERE share >= 0.2 AND gap >= 1.1 * (SELECT step FROM step) AND between_ss / greatest(total, 1e-8) >= 0.3),
 lab AS (SELECT id, time, CASE WHEN cut IS NULL THEN cluster ELSE cluster || CASE WHEN time <= cut THEN '_1' ELSE '_2' END END AS label FROM sp LEFT JOIN kept USING (cluster)),
 nm AS (SELECT label, 'C' || row_number() OVER (ORDER BY median(time), label) AS cluster FROM lab GROUP BY label) SELECT id, cluster FROM lab JOIN nm USING (label)"""
+# Only clusters whose parts are apart in the first five dimensions, too, are split.
+_APART = _REFINED.replace("kept AS (SELECT cluster, cut", "timed AS (SELECT cluster, cut").replace(
+    "\nlab AS",
+    """
+sides AS (SELECT cluster, sp.time <= cut AS early, v FROM timed JOIN sp USING (cluster) JOIN (SELECT id, v FROM points) USING (id)), dims AS (SELECT cluster, early, unnest(v[1:5]) AS x, unnest(range(1, 6)) AS dim FROM sides),
+apart AS (SELECT cluster, dim, ((avg(x) FILTER (early) - avg(x) FILTER (NOT early)) / nullif(stddev_samp(x), 0)) ** 2 AS d FROM dims GROUP BY 1, 2),
+kept AS (SELECT cluster, cut FROM timed WHERE cluster IN (SELECT cluster FROM apart GROUP BY 1 HAVING count(d) = count(*) AND sqrt(sum(d)) >= 0.55)),
+lab AS""",
 )
+
+
+@query(_REFINED)
 def refined_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = tables.points(spark, sf_dir)
     time = F.when(F.col("cluster") < 5, F.col("id") % 2 * 8 + F.col("id") % 3).otherwise(F.col("id") % 9)
     return branching.refined_clusters(p.select("id", "cluster", time.alias("time")), min_size=6, min_separation=None)
 
 
+@query(_APART)
+def refined_clusters_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = tables.points(spark, sf_dir)
+    time = F.when(F.col("cluster") < 5, F.col("id") % 2 * 8 + F.col("id") % 3).otherwise(F.col("id") % 9)
+    return branching.refined_clusters(p.select("id", "cluster", time.alias("time"), "v"), min_size=6)
+
+
 @query()
 def trajectory_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = tables.points(spark, sf_dir).withColumn("time", F.col("cluster") % 4)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from cytoplan.operators import communities, neighbors, pseudotime
 
@@ -49,7 +50,14 @@ def plain_pseudotime(root=1, step=1.0):
     return out
 
 
-def test_cluster_pseudotime(spark):
+@pytest.fixture(params=["driver", "joins"])
+def way(request, monkeypatch):
+    """Small graphs are settled by the driver, others by joins: both are tried."""
+    if request.param == "joins":
+        monkeypatch.setattr(pseudotime, "DRIVER_CELLS", 0)
+
+
+def test_cluster_pseudotime(spark, way):
     root = spark.createDataFrame([(1,)], "cluster long")
     got = pseudotime.cluster_pseudotime(graph(spark), medians(spark), root, spark.createDataFrame([(1.0,)], "step double"))
     want = plain_pseudotime()
@@ -57,7 +65,7 @@ def test_cluster_pseudotime(spark):
     assert {r.cluster: r.pt if r.pt is None else round(r.pt, 9) for r in got.collect()} == {c: p if p is None else round(p, 9) for c, p in want.items()}
 
 
-def test_terminals_and_root(spark):
+def test_terminals_and_root(spark, way):
     pts = spark.createDataFrame([(c, p) for c, p in plain_pseudotime().items()], "cluster long, pt double")
     root = spark.createDataFrame([(1,)], "cluster long")
     assert {r.cluster for r in pseudotime.terminals(graph(spark), pts, root).collect()} == {3, 4, 5, 6, 7}
@@ -68,7 +76,7 @@ def test_terminals_and_root(spark):
     assert pseudotime.choose_root(graph(spark), cells).first().cluster == 2
 
 
-def test_absorption(spark):
+def test_absorption(spark, way):
     p = {(1, 2): 0.7, (1, 3): 0.3, (2, 1): 0.2, (2, 4): 0.5, (2, 2): 0.3, (3, 3): 1.0, (4, 4): 1.0}
     got = pseudotime.absorption(spark.createDataFrame([(a, b, x) for (a, b), x in p.items()], "from_cluster long, to_cluster long, p double"), spark.createDataFrame([(3,), (4,)], "cluster long"))
     q, r = np.array([[0, 0.7], [0.2, 0.3]]), np.array([[0.3, 0], [0, 0.5]])
