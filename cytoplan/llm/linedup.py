@@ -14,8 +14,8 @@ its lines are deleted. No window has more than MIN_WORDS lines, as every line in
 Doubling stops at 16 lines, though longer runs repeat: a name is an interval of the suffix array (the suffixes that share a prefix), and the
 intervals of longer prefixes only repeat what the windows have decided, as every longer repeated run is a union of repeated windows.
 
-All naming is grouped minima with map-side combining and joins on names; no group of copies is gathered, and the most frequent lines are
-joined by a broadcast of bounded size.
+All naming is grouped minima with map-side combining and joins on names; no group of copies is gathered, and the most frequent lines and
+runs are joined by a broadcast of bounded size, so a boilerplate that a third of all documents hold is no task of its own.
 
 Defined cases: lines without words are never deleted and count no words; null texts stay null; rows of a null doc_id stand before
 those of doc_id 0; repeated rows of a
@@ -51,8 +51,8 @@ def _firsts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def _name(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Adds to rows the first place of their keys; rows whose keys stand once are dropped."""
-    return rows.join(_firsts(rows, keys, name).drop("copies"), keys)
+    """Adds to rows (a written table) the first place of their keys; rows whose keys stand once are dropped."""
+    return join_with_hot_keys(rows, written(_firsts(rows, keys, name), "firsts"), keys, "copies").drop("copies")
 
 
 def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -82,13 +82,13 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         ends = named.select("doc_id", "copy", F.col("k").alias("k2"), F.col("a").alias("b"))
         fitting = F.filter("sizes", lambda n: (n > width) & (n <= 2 * width))
         wide = named.select(*PLACE, "k", "a", F.explode(fitting).alias("size")).withColumn("k2", F.col("k") + F.col("size") - width)
-        both = _name(wide.join(ends, ["doc_id", "copy", "k2"]), ["size", "a", "b"], "c")
+        both = _name(written(wide.join(ends, ["doc_id", "copy", "k2"]), "windows"), ["size", "a", "b"], "c")
         last = both.where(F.col("c") != F.struct(*PLACE))
         span = last.select("doc_id", "copy", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("size") - 1)).alias("k"))
         deleted = deleted.unionByName(span.join(lines.select(*PLACE, "k"), ["doc_id", "copy", "k"]).select(*PLACE))
         if 2 * width < min_words:
             nexts = named.select("doc_id", "copy", (F.col("k") - width).alias("k"), F.col("a").alias("b"))
-            doubled = _name(named.drop("sizes").join(nexts, ["doc_id", "copy", "k"]), ["a", "b"], "c")
+            doubled = _name(written(named.drop("sizes").join(nexts, ["doc_id", "copy", "k"]), "runs"), ["a", "b"], "c")
             sizes = named.select(*PLACE, "sizes")
             named = written(doubled.select(*PLACE, "k", F.col("c").alias("a")).join(sizes, [*PLACE]), "names")
         width *= 2

@@ -1,8 +1,9 @@
 """Line runs against brute force over all runs, not windows."""
 
 import numpy as np
+import pytest
 
-from cytoplan.llm import linedup
+from cytoplan.llm import common, linedup
 
 LONG = "a line of twelve words that is long enough to count alone"
 
@@ -31,7 +32,10 @@ def test_short_last_lines_of_a_run_are_deleted(spark):
     assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, rows[0][1]), (2, "start\nsecond"), (3, "")]
 
 
-def test_all_runs_match_brute_force(spark):
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_all_runs_match_brute_force(spark, monkeypatch, hot):
+    """With hot at 2, the names of most runs are joined by a broadcast."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
     r = np.random.default_rng(6)
     pool = [" ".join(f"{'abcdefgh'[k]}{j}" for j in range(n)) for k, n in enumerate((1, 1, 2, 3, 4, 6, 9, 12))]
     rows = [(i, "\n".join(pool[k] for k in r.integers(0, 8, r.integers(2, 14)))) for i in range(120)]
