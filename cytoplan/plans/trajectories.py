@@ -73,9 +73,12 @@ def cell_pseudotime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(trajectory.cell_pseudotime(_timed(points), _given(points)))
 
 
+_STEPS = f"""{_GRAPH}, {_GIVEN}, w AS (SELECT s, e, weight * CASE WHEN y.pt - x.pt < -1e-8 THEN 0.15 ELSE 1 END AS w FROM graph JOIN pts x ON x.cluster = s JOIN pts y ON y.cluster = e WHERE s NOT IN (8, 9)),
+p AS (SELECT s, e, sum(w) / sum(sum(w)) OVER (PARTITION BY s) AS p FROM w GROUP BY 1, 2)"""
+
+
 @query(
-    f"""WITH {_GRAPH}, {_GIVEN}, w AS (SELECT s, e, weight * CASE WHEN y.pt - x.pt < -1e-8 THEN 0.15 ELSE 1 END AS w FROM graph JOIN pts x ON x.cluster = s JOIN pts y ON y.cluster = e WHERE s NOT IN (8, 9)),
-p AS (SELECT s, e, sum(w) / sum(sum(w)) OVER (PARTITION BY s) AS p FROM w GROUP BY 1, 2)
+    f"""WITH {_STEPS}
 SELECT s AS from_cluster, e AS to_cluster, round(p, 6) AS p FROM p UNION ALL SELECT c, c, 1 FROM l WHERE c NOT IN (SELECT s FROM p)"""
 )
 def transition_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,7 +276,15 @@ def cluster_pseudotime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pseudotime.cluster_pseudotime(edges, medians, settled(pseudotime.choose_root(edges, cells)), trajectory.typical_step(cells)))
 
 
-@query()
+# 4,096 steps, by squaring twelve times.
+_SQUARES = ", ".join(f"m{k + 1} AS MATERIALIZED (SELECT a.s, b.e, sum(a.p * b.p) AS p FROM m{k} a JOIN m{k} b ON a.e = b.s GROUP BY 1, 2)" for k in range(12))
+
+
+@query(
+    f"""WITH {_STEPS}, m0 AS MATERIALIZED (SELECT s, e, p FROM p UNION ALL SELECT c, c, 1 FROM l WHERE c NOT IN (SELECT s FROM p)), {_SQUARES},
+full_shares AS (SELECT l.c AS cluster, t.t AS terminal, coalesce(m12.p, 0) AS p FROM l CROSS JOIN (SELECT unnest([8, 9])::BIGINT AS t) t LEFT JOIN m12 ON m12.s = l.c AND m12.e = t.t)
+SELECT cluster, terminal, round(p / greatest(sum(p) OVER (PARTITION BY cluster), 1e-12), 6) AS p FROM full_shares"""
+)
 def branch_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     points, edges = _graph(spark, sf_dir)
     steps = trajectory.transitions(edges, points.select("cluster").distinct(), _given(points), [8, 9])
