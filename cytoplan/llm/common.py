@@ -51,15 +51,18 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 HOT_KEYS, HOT_ROWS = 1000, 1000
 
 
-def join_with_hot_keys(rows: DataFrame, names: DataFrame, keys: list[str], count: str) -> DataFrame:
+def join_with_hot_keys(rows: DataFrame, names: DataFrame, keys: list[str], count: str, most: int | None = None) -> DataFrame:
     """Inner join of rows with names (distinct keys, and how many rows have them) in which no hot key is dealt to one task.
 
-    The HOT_KEYS keys of most rows are joined by a broadcast, the others by their keys.
+    The HOT_KEYS keys of most rows, of more than `most` (HOT_ROWS), are joined by a broadcast, the others by their keys. Names may be a
+    grouped table that is not written: it is grouped once for the hot keys and once for the join.
     """
-    hot = names.where(F.col(count) > HOT_ROWS).orderBy(F.desc(count), *keys).limit(HOT_KEYS)
-    some = rows.join(F.broadcast(hot), keys)
-    others = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(names, keys)
-    return some.unionByName(others)
+    hot = names.where(F.col(count) > (HOT_ROWS if most is None else most)).orderBy(F.desc(count), *keys).limit(HOT_KEYS).collect()
+    if not hot:
+        return rows.join(names, keys)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot, names.schema))
+    others = rows.join(hot.select(*keys), keys, "left_anti").join(names, keys)
+    return rows.join(hot, keys).unionByName(others)
 
 
 def packed(documents: DataFrame) -> DataFrame:

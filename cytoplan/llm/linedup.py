@@ -52,7 +52,7 @@ def _firsts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 def _name(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Adds to rows (a written table) the first place of their keys; rows whose keys stand once are dropped."""
-    return join_with_hot_keys(rows, written(_firsts(rows, keys, name), "firsts"), keys, "copies").drop("copies")
+    return join_with_hot_keys(rows, _firsts(rows, keys, name), keys, "copies").drop("copies")
 
 
 def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -73,26 +73,25 @@ def later_copies(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = lines.select(*PLACE, "h1", "h2", "n", ahead.alias("ahead"), F.row_number().over(order).alias("k"))
     lines = lines.select(*PLACE, "h1", "h2", got["sizes"].alias("sizes"), "k")
     lines = written(lines, "lines")
-    firsts = written(_firsts(lines, ["h1", "h2"], "a"), "firsts")
-    named = written(join_with_hot_keys(lines, firsts, ["h1", "h2"], "copies").select(*PLACE, "k", "sizes", "a"), "names")
-    deleted = named.where(F.array_contains("sizes", 1)).where(F.col("a") != F.struct(*PLACE)).select(*PLACE)
+    named = written(_name(lines, ["h1", "h2"], "a").select(*PLACE, "k", "sizes", "a"), "names")
+    gone = named.where(F.array_contains("sizes", 1)).where(F.col("a") != F.struct(*PLACE)).select("doc_id", "copy", "k")
     width = 1
     while width < min_words:
-        # Windows of width + 1 ... 2 * width lines: a run of width lines here, and one that ends with the window.
+        # Windows of width + 1 ... 2 * width lines: a run of width lines here, and one that ends with the window. The runs of
+        # 2 * width lines, which the next round needs, are found beside them; a window of that size is such a run, of the same name.
         ends = named.select("doc_id", "copy", F.col("k").alias("k2"), F.col("a").alias("b"))
-        fitting = F.filter("sizes", lambda n: (n > width) & (n <= 2 * width))
-        wide = named.select(*PLACE, "k", "a", F.explode(fitting).alias("size")).withColumn("k2", F.col("k") + F.col("size") - width)
-        both = _name(written(wide.join(ends, ["doc_id", "copy", "k2"]), "windows"), ["size", "a", "b"], "c")
-        last = both.where(F.col("c") != F.struct(*PLACE))
-        span = last.select("doc_id", "copy", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("size") - 1)).alias("k"))
-        deleted = deleted.unionByName(span.join(lines.select(*PLACE, "k"), ["doc_id", "copy", "k"]).select(*PLACE))
+        wanted = F.filter("sizes", lambda n: (n > width) & (n <= 2 * width))
         if 2 * width < min_words:
-            nexts = named.select("doc_id", "copy", (F.col("k") - width).alias("k"), F.col("a").alias("b"))
-            doubled = _name(written(named.drop("sizes").join(nexts, ["doc_id", "copy", "k"]), "runs"), ["a", "b"], "c")
-            sizes = named.select(*PLACE, "sizes")
-            named = written(doubled.select(*PLACE, "k", F.col("c").alias("a")).join(sizes, [*PLACE]), "names")
+            wanted = F.array_union(wanted, F.array(F.lit(2 * width)))
+        wide = named.select(*PLACE, "k", "sizes", "a", F.explode(wanted).alias("size")).withColumn("k2", F.col("k") + F.col("size") - width)
+        runs = _name(written(wide.join(ends, ["doc_id", "copy", "k2"]), "runs"), ["size", "a", "b"], "c").select(*PLACE, "k", "sizes", "size", "c")
+        if 2 * width < min_words:
+            runs = written(runs, "names")
+            named = runs.where(F.col("size") == 2 * width).select(*PLACE, "k", "sizes", F.col("c").alias("a"))
+        last = runs.where(F.array_contains("sizes", F.col("size")) & (F.col("c") != F.struct(*PLACE)))
+        gone = gone.unionByName(last.select("doc_id", "copy", F.explode(F.sequence(F.col("k"), F.col("k") + F.col("size") - 1)).alias("k")))
         width *= 2
-    return deleted.distinct()
+    return gone.distinct().join(lines.select(*PLACE, "k"), ["doc_id", "copy", "k"]).select(*PLACE)
 
 
 def dedup(documents: DataFrame, *carry: str, min_words: int = MIN_WORDS) -> DataFrame:

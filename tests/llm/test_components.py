@@ -30,3 +30,12 @@ def test_hubs_chains_and_random_edges(spark, monkeypatch, hot):
     got = components.components(spark.createDataFrame(edges, "a long, b long"))
     want = least_reachable([e for e in edges if e[0] != e[1]])
     assert {x.vertex: x.root for x in got.collect()} == {x: y for x, y in want.items() if x != y}
+
+
+def test_a_round_writes_two_tables(spark, monkeypatch):
+    """Files are what small rounds cost: a star is settled by one round, which no further one confirms."""
+    tables = []
+    monkeypatch.setattr(components, "written", lambda df, name: tables.append(name) or common.written(df, name))
+    got = components.components(spark.createDataFrame([(1, k) for k in range(2, 50)], "a long, b long"))
+    assert {x.vertex: x.root for x in got.collect()} == dict.fromkeys(range(2, 50), 1)
+    assert tables == ["edges", "large", "stars"]

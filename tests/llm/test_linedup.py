@@ -42,3 +42,15 @@ def test_all_runs_match_brute_force(spark, monkeypatch, hot):
     rows += [(200 + i, "\n".join(["x y"] * n)) for i, n in enumerate((4, 5, 6, 17))] + [(300 + i, "\n".join(f"v{k}" for k in range(i, 25 + i))) for i in range(3)]
     got = linedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert sorted((x.doc_id, x.text, x.n_removed) for x in got.collect()) == left_by_brute_force(rows)
+
+
+@pytest.mark.parametrize("hot", [1000, 2])
+def test_a_doubling_writes_two_tables(spark, monkeypatch, hot):
+    """First places are grouped where they are joined, and windows are named beside the runs that the next doubling needs."""
+    monkeypatch.setattr(common, "HOT_ROWS", hot)
+    tables = []
+    monkeypatch.setattr(linedup, "written", lambda df, name: tables.append(name) or common.written(df, name))
+    rows = [(i, f"{LONG}\na b c d e f\n{i}\n" + "\n".join("vwxyz"[k % 5] for k in range(12))) for i in range(6)]
+    got = linedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((x.doc_id, x.text, x.n_removed) for x in got.collect()) == left_by_brute_force(rows)
+    assert tables == ["lines", "names", *["runs", "names"] * 3, "runs"]
