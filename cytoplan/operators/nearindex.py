@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cytoplan.functions.settle import settled
-from cytoplan.operators.neighbors import BLOCK, knn
+from cytoplan.functions.settle import forget
+from cytoplan.operators import blockwise
+from cytoplan.operators.blockwise import BLOCK
+from cytoplan.operators.neighbors import knn
 
 #: Points that share a pivot on average, and pivots at most (they are sent to every task).
 CELL, MAX_PIVOTS = 1000, 4096
@@ -70,54 +72,59 @@ def probes_needed(points: DataFrame, centres: np.ndarray, k: int, recall: float
     return places[int(np.searchsorted(upto, recall * upto[-1]))][0] + 1 if places else 1
 
 
-def _assigned(points: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
-    """id, v and cells: the nearest pivots, nearest first."""
-    size = (centres**2).sum(1)
+def _far(v: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of points from pivots, and what rounding may add to or take off each."""
+    size, own = (centres**2).sum(1), (v**2).sum(1)[:, None]
+    return np.sqrt(np.maximum(size - 2 * v @ centres.T + own, 0)), 1e-6 * (np.sqrt(size) + np.sqrt(own))
+
+
+def _reaches(rows: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The largest distance of a cell's points from its pivot, for each pivot."""
 
-    def assign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reach(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), BLOCK):
-                part = frame.iloc[at : at + BLOCK]
-                far = size - 2 * np.array(part["v"].tolist(), float) @ centres.T
-                yield part.assign(cells=list(np.argsort(far, axis=1, kind="stable")[:, :probes]))
+            for v, home in zip(frame["v"], frame["home"], strict=True):
+                cell = np.frombuffer(home, np.int32)
+                far, more = (x[np.arange(len(cell)), cell] for x in _far(np.frombuffer(v).reshape(len(cell), -1), centres))
+                yield pd.DataFrame({"cell": cell, "reach": far + more}).groupby("cell", as_index=False).max()
 
-    return points.select("id", "v").mapInPandas(assign, "id long, v array<double>, cells array<long>")
+    out = np.full(len(centres), -np.inf)
+    for r in rows.select("v", "home").mapInPandas(reach, "cell long, reach double").groupBy("cell").agg(F.max("reach").alias("reach")).collect():  # MAX_PIVOTS rows at most
+        out[r.cell] = r.reach
+    return out
 
 
-def knn_indexed(points: DataFrame, k: int = 15, cell: int = CELL, probes: int | None = None, block: int = BLOCK) -> DataFrame:
+def knn_indexed(points: DataFrame, k: int = 15, cell: int = CELL, probes: int | None = None, block: int = BLOCK, exact: bool = False) -> DataFrame:
     """(i, j, rank, distance) as from neighbors.knn, of the points that stand in the nearest `probes` cells. points: id (long), v.
 
     The pivots are a bounded sample; every point is stored in the cell of its nearest pivot and looks into `probes` cells: as many as
-    a sample of points needs to find the share RECALL of their true neighbours, if not given. With as many probes as pivots the result is exact.
-    A crowded cell is dealt in blocks of `block` stored and `block` looking points: no task holds more than
-    about two blocks. What is compared grows with points times probes times points of a cell; cells grow beyond MAX_PIVOTS * cell points.
+    a sample of points needs to find the share RECALL of their true neighbours, if not given. With as many probes as pivots the result is exact,
+    and with `exact`, where a point looks into further cells, too, unless the distance of their pivot and their reach tell that they hold none of its nearest.
+    A task holds a block of looking points and a chunk of stored ones (see blockwise), whatever the size of a cell. What is compared grows with points times probes
+    times points of a cell; cells grow beyond MAX_PIVOTS * cell points.
     A point gets fewer than k neighbours if its cells hold fewer; an empty table gives an empty result. Ids are distinct; vectors have one length and no nulls.
     """
     own = points.select("id", F.col("v").cast("array<double>").alias("v"))
     centres = pivots(own, cell)
     if not len(centres):
         return own.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0).cast("long").alias("rank"), F.lit(0.0).alias("distance"))
-    rows = settled(_assigned(own, centres, probes or probes_needed(own, centres, k)))
-    parts = lambda n: F.ceil(F.col(n) / block).cast("long")
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
-    stored = rows.groupBy(F.col("cells")[0].alias("cell")).agg(F.count(F.lit(1)).alias("m"))
-    looking = rows.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("q"))
-    sizes = F.broadcast(stored.join(looking, "cell").select("cell", parts("m").alias("m"), parts("q").alias("q")))  # MAX_PIVOTS rows at most
-    home = rows.select("id", "v", F.col("cells")[0].alias("cell")).join(sizes, "cell")
-    home = home.select("cell", F.pmod(F.xxhash64("id"), F.col("m")).alias("hb"), F.explode(upto("q")).alias("qb"), F.lit(True).alias("stored"), "id", "v")
-    asks = rows.select("id", "v", F.explode("cells").alias("cell")).join(sizes, "cell")
-    asks = asks.select("cell", F.explode(upto("m")).alias("hb"), F.pmod(F.xxhash64("id", F.lit(1)), F.col("q")).alias("qb"), F.lit(False).alias("stored"), "id", "v")
-
-    def nearest(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[~group.stored], group[group.stored]
-        i, j = a.id.to_numpy(), b.id.to_numpy()
-        out = [pd.DataFrame({"i": i[:0], "j": j[:0], "distance": np.zeros(0)})]
-        if len(i) and len(j):
-            out += _nearest(np.array(a.v.tolist()), i, np.array(b.v.tolist()), j, k)
-        return pd.concat(out)
-
-    found = home.union(asks).groupBy("cell", "hb", "qb").applyInPandas(nearest, "i long, j long, distance double")
-    return _ranked(found, k).select("i", "j", F.col("rank").cast("long").alias("rank"), "distance")
+    size = (centres**2).sum(1)
+    order = lambda v: np.argsort(size - 2 * v @ centres.T, axis=1, kind="stable")
+    asked = min(len(centres), probes or probes_needed(own, centres, k))
+    rows = blockwise.packed(own, block, lambda v: order(v)[:, 0])
+    reach = _reaches(rows, centres) if exact else None
+
+    def look(b: blockwise.Block) -> None:
+        near = np.zeros((len(centres), len(b.ids)), bool)
+        np.put_along_axis(near, order(b.x)[:, :asked].T, True, axis=0)
+        b.cells(near)
+        if exact and asked < len(centres):
+            far, more = _far(b.x, centres)
+            b.cells(~near & ~(far - more - reach > b.d[:, -1:] + 1e-9).T)
+
+    found = blockwise.nearest(rows, rows, k, own=True, look=look)
+    forget(rows)
+    return found
 
 
 def nearest(points: DataFrame, k: int = 15, exact: int | None = None) -> DataFrame:
